@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VETO = "HARD_VETO"
 RUBRIC_PASS = 7  # fixed value: of 10 points
@@ -100,7 +101,7 @@ def _lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _rouge_l(pred: pd.Series, ref: pd.Series) -> pd.Series:
     def f1(p: str | None, r: str | None) -> float | None:
         if p is None or r is None:

@@ -86,7 +86,7 @@ VIEWS = {
         'City ' || CAST(o_custkey % 40 AS STRING) AS origin_city,
         CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'City ' || CAST(o_orderkey % 40 AS STRING) END AS destination_city,
         CAST(o_orderkey % 900 AS STRING) AS distance_miles, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS revenue,
-        CAST(CAST(o_totalprice AS DECIMAL(18,0)) AS STRING) AS total_cost, 'not used' AS cost,
+        CAST(o_custkey * 3 AS STRING) AS total_cost, 'not used' AS cost,
         o_orderstatus AS delivery_status, 'not used' AS status, o_orderpriority AS booking_type,
         CAST(CAST(o_orderdate AS DATE) AS STRING) AS event_date, CAST(NULL AS STRING) AS notes FROM {orders}""",
     "src_delivery_events": """SELECT CAST(l_orderkey AS STRING) AS load_id, CAST(l_partkey AS STRING) AS truck_id,
@@ -149,13 +149,14 @@ def oracle_views(sql: str, extra: dict[str, str]) -> str:
     """``sql`` with a CTE for every view it names, directly or through another."""
     known = {**{n: t.format(**{b: b for b in TABLES}) for n, t in VIEWS.items()}, **extra}
     order: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str) -> None:
         for name in known:
-            if name not in order and re.search(rf"\b{name}\b", text):
-                need(known[name]) if known[name] is not text else None
-                if name not in order:
-                    order.append(name)
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
+                need(known[name])
+                order.append(name)
 
     need(sql)
     if not order:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from midmile.functions.columns import in_years
+from midmile.sources.schema import columns
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,7 +68,7 @@ def load_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     )
 
 
-SCENARIO = T.StructType.fromDDL(
+SCENARIO = columns(
     "id string, category string, description string, route_wkt string, vehicle_weight_tons double, "
     "vehicle_height_mt double, expected_verdict string, violation_type string"
 )

@@ -9,64 +9,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from midmile.operators.silver import UNIFIED
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+from midmile.sources.schema import columns
 
 
 _STAMPED_UNIFIED = T.StructType(UNIFIED.fields + [T.StructField("_ingested_at", T.TimestampType())])
 
 BRONZE = {
-    "traffic_incidents": _struct(
+    "traffic_incidents": columns(
         "accident_id string, start_time timestamp_ntz, end_time timestamp_ntz, start_lat double, start_lng double, "
         "end_lat double, end_lng double, distance double, description string, street string, city string, "
         "county string, state string, zipcode string, weather_condition string, severity int"
     ),
-    "noaa_gsod": _struct(
+    "noaa_gsod": columns(
         "station string, date date, latitude double, longitude double, elevation double, name string, "
         "temp double, dewp double, slp double, stp double, visib double, wdsp double, mxspd double, gust double, "
         "max double, min double, prcp double, sndp double, frshtt string, data_year int"
     ),
-    "bridge_inventory": _struct(
+    "bridge_inventory": columns(
         "bridge_id string, bridge_name string, state_code int, condition string, clearance_mt double, "
         "load_limit_tons double, latitude double, longitude double"
     ),
-    "raw_logistics": _struct(
+    "raw_logistics": columns(
         "order_id string, order_date date, delivery_date date, shipping_mode string, days_for_shipping_real int, "
         "days_for_shipment_scheduled int, late_delivery_risk string"
     ),
     "logistics": _STAMPED_UNIFIED,
 }
 SILVER = {
-    "risk_heatmap": _struct(
+    "risk_heatmap": columns(
         "state string, city string, hour timestamp_ntz, incident_count bigint, avg_severity double, _updated_at timestamp"
     ),
-    "weather_alerts": _struct(
+    "weather_alerts": columns(
         "station string, date date, latitude double, longitude double, temp double, prcp double, sndp double, "
         "visib double, weather_alert string, alert_description string"
     ),
-    "bridge_inventory_geo": _struct(
+    "bridge_inventory_geo": columns(
         "bridge_id string, bridge_name string, state_code int, condition string, clearance_mt double, "
-        "load_limit_tons double, location struct<lat:double,lon:double>, _processed_at timestamp"
+        "load_limit_tons double, location point, _processed_at timestamp"
     ),
-    "cleaned_logistics": _struct(
+    "cleaned_logistics": columns(
         "order_id string, order_date date, delivery_date date, shipping_mode string, delay_days int, "
         "late_delivery_risk_score int, delay_propensity double, _inserted_at timestamp"
     ),
-    "logistics_vectorized": _struct(
-        "chunk_id string, record_type string, text_content string, metadata string, embedding array<float>, "
-        "source_record_ids array<string>, _vectorized_at timestamp"
+    "logistics_vectorized": columns(
+        "chunk_id string, record_type string, text_content string, metadata string, embedding floats, "
+        "source_record_ids strings, _vectorized_at timestamp"
     ),
 }
 GOLD = {
-    "vector_embeddings": _struct("chunk_id string, text_content string, embedding array<float>, _created_at timestamp"),
-    "disruption_reports": _struct(
-        "report_id string, route_id string, location struct<lat:double,lon:double>, severity int, summary string, "
+    "vector_embeddings": columns("chunk_id string, text_content string, embedding floats, _created_at timestamp"),
+    "disruption_reports": columns(
+        "report_id string, route_id string, location point, severity int, summary string, "
         "created_at timestamp"
     ),
-    "query_logs": _struct(
-        "query_id string, user_id string, query_text string, response_text string, grounding_sources array<string>, "
+    "query_logs": columns(
+        "query_id string, user_id string, query_text string, response_text string, grounding_sources strings, "
         "execution_time_ms bigint, is_grounded boolean, created_at timestamp"
     ),
 }
