@@ -27,7 +27,7 @@ def _dot(a: Column, b: Column) -> Column:
     return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
 
 
-def _arc(a: Column, b: Column) -> Column:
+def arc(a: Column, b: Column) -> Column:
     """Angle between unit vectors, from their chord: exact for close points too."""
     dx, dy, dz = a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"]
     return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(dx * dx + dy * dy + dz * dz) / 2))
@@ -35,7 +35,7 @@ def _arc(a: Column, b: Column) -> Column:
 
 def distance_m(a: Column, b: Column) -> Column:
     """Great-circle distance of two unit vectors."""
-    return _arc(a, b) * EARTH_M
+    return arc(a, b) * EARTH_M
 
 
 def point_distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -55,21 +55,25 @@ def segment_distance_m(p: Column, a: Column, b: Column) -> Column:
     return F.when(beside, F.asin(F.least(F.lit(1.0), F.try_divide(across, n))) * EARTH_M).otherwise(ends)
 
 
-def _degrees(metres: float) -> float:
+def degrees_of(metres: float) -> float:
     return math.degrees(metres / EARTH_M)
 
 
 def _band(lat: Column, cell_m: float) -> Column:
-    return F.floor((lat + 90) / _degrees(cell_m)).cast("int")
+    return F.floor((lat + 90) / degrees_of(cell_m)).cast("int")
 
 
 def _band_cells(band: Column, cell_m: float) -> Column:
     """Cells in a band, at least 1, each at least ``cell_m`` wide all over the band."""
-    size = _degrees(cell_m)
+    size = degrees_of(cell_m)
     edge = F.greatest(F.abs(band * size - 90), F.abs((band + 1) * size - 90))
     return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / size)).cast("int")
 
 
+def _step(lon: Column, n: Column) -> Column:
+    return F.floor((lon + 180) / 360 * n).cast("int")
+
+
 def _cell_id(band: Column, step: Column) -> Column:
     return band.cast("bigint") * F.lit(1 << 32) + step.cast("bigint")
 
@@ -78,52 +82,84 @@ def cell_of(lat: Column, lon: Column, cell_m: float) -> Column:
     """Grid cell of a point."""
     band = _band(lat, cell_m)
     n = _band_cells(band, cell_m)
-    return _cell_id(band, F.pmod(F.floor((lon + 180) / 360 * n).cast("int"), n))
-
-
-def cells_within(lat: Column, lon: Column, radius_m: float, cell_m: float) -> Column:
-    """All cells that a circle touches, as an array without repeats."""
-    arc = (radius_m + 0.01) / EARTH_M  # a centimetre over, for rounding
-    north, south = lat + math.degrees(arc), lat - math.degrees(arc)
-    reach = math.sin(arc) / F.cos(F.radians(lat))
-    half = F.when((north >= 90) | (south <= -90), F.lit(180.0)).otherwise(
-        F.degrees(F.asin(F.least(F.lit(1.0), reach)))
-    )
-    bands = F.sequence(_band(F.greatest(south, F.lit(-90.0)), cell_m), _band(F.least(north, F.lit(90.0)), cell_m))
+    return _cell_id(band, F.pmod(_step(lon, n), n))
 
-    def along(band: Column) -> Column:
-        n = _band_cells(band, cell_m)
-        first = F.floor((lon - half + 180) / 360 * n).cast("int")
-        last = F.floor((lon + half + 180) / 360 * n).cast("int")
-        last = F.least(last, first + n - 1)
-        return F.transform(F.sequence(first, last), lambda i: _cell_id(band, F.pmod(i, n)))
 
-    return F.array_distinct(F.flatten(F.transform(bands, along)))
+def cells_within(centres: Column, radius_m: float, cell_m: float) -> Column:
+    """Cells that circles round the ``centres`` (array of lat, lon) touch, without repeats.
 
-
-def cells_along(a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, reach_m: float, piece_m: float, cell_m: float) -> Column:
-    """All cells within ``reach_m`` of a great-circle segment.
-
-    The segment is cut into pieces of at most ``piece_m``. Every point of a piece is
-    within half a piece of its middle, so the circle of radius reach + piece/2 round
-    the middle covers all that lies within reach of the piece.
+    The steps are separate transforms: each names its values for the next, which keeps
+    the expression small.
     """
-    a, b = unit_vector(a_lat, a_lon), unit_vector(b_lat, b_lon)
-    theta = _arc(a, b)
-    n = F.greatest(F.lit(1), F.ceil(theta * EARTH_M / piece_m)).cast("int")
-
-    def covered(i: Column) -> Column:
-        t = (i + 0.5) / n
-        # weights of the ends for the point at fraction t; 1-t and t when the ends coincide
-        u = F.when(theta > 1e-12, F.try_divide(F.sin((1 - t) * theta), F.sin(theta))).otherwise(1 - t)
-        v = F.when(theta > 1e-12, F.try_divide(F.sin(t * theta), F.sin(theta))).otherwise(t)
-        x, y, z = (u * a[k] + v * b[k] for k in "xyz")
-        lat = F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
-        lon = F.degrees(F.atan2(y, x))
-        return cells_within(lat, lon, reach_m + piece_m / 2, cell_m)
-
-    pieces = F.sequence(F.lit(0), n - 1)
-    return F.array_distinct(F.flatten(F.transform(pieces, covered)))
+    arc = (radius_m + 0.01) / EARTH_M  # a centimetre over, for rounding
+    d = math.degrees(arc)
+    half = lambda lat: F.when((lat + d >= 90) | (lat - d <= -90), F.lit(180.0)).otherwise(
+        F.degrees(F.asin(F.least(F.lit(1.0), math.sin(arc) / F.cos(F.radians(lat)))))
+    )
+    circles = F.transform(
+        centres,
+        lambda c: F.struct(
+            F.sequence(
+                _band(F.greatest(c["lat"] - d, F.lit(-90.0)), cell_m), _band(F.least(c["lat"] + d, F.lit(90.0)), cell_m)
+            ).alias("bands"),
+            c["lon"].alias("lon"),
+            half(c["lat"]).alias("half"),
+        ),
+    )
+    strips = F.flatten(
+        F.transform(
+            circles,
+            lambda c: F.transform(
+                c["bands"],
+                lambda band: F.struct(
+                    band.alias("band"), _band_cells(band, cell_m).alias("n"), c["lon"].alias("lon"), c["half"].alias("half")
+                ),
+            ),
+        )
+    )
+    runs = F.transform(
+        strips,
+        lambda s: F.struct(
+            s["band"].alias("band"),
+            s["n"].alias("n"),
+            _step(s["lon"] - s["half"], s["n"]).alias("first"),
+            _step(s["lon"] + s["half"], s["n"]).alias("last"),
+        ),
+    )
+    ids = F.transform(
+        runs,
+        lambda r: F.transform(
+            F.sequence(r["first"], F.least(r["last"], r["first"] + r["n"] - 1)),
+            lambda i: _cell_id(r["band"], F.pmod(i, r["n"])),
+        ),
+    )
+    return F.array_distinct(F.flatten(ids))
+
+
+def piece_centres(a: Column, b: Column, theta: Column, n: Column) -> Column:
+    """Middles of ``n`` equal pieces of the great circle ``a``-``b`` of angle ``theta``, as (lat, lon)."""
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i + 0.5) / n)
+    # weights of the two ends; 1-t and t when the ends coincide
+    weighted = F.transform(
+        parts,
+        lambda t: F.when(
+            theta > 1e-12,
+            F.struct(
+                F.try_divide(F.sin((1 - t) * theta), F.sin(theta)).alias("u"),
+                F.try_divide(F.sin(t * theta), F.sin(theta)).alias("v"),
+            ),
+        ).otherwise(F.struct((1 - t).alias("u"), t.alias("v"))),
+    )
+    vectors = F.transform(
+        weighted, lambda w: F.struct(*[(w["u"] * a[k] + w["v"] * b[k]).alias(k) for k in "xyz"])
+    )
+    return F.transform(
+        vectors,
+        lambda p: F.struct(
+            F.degrees(F.atan2(p["z"], F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))).alias("lat"),
+            F.degrees(F.atan2(p["y"], p["x"])).alias("lon"),
+        ),
+    )
 
 
 def parse_linestring(wkt: Column) -> Column:

@@ -30,6 +30,26 @@ def segments(routes: DataFrame, route_id: str = "route_id") -> DataFrame:
     )
 
 
+def _with_cells(legs: DataFrame, reach_m: float, piece_m: float, cell_m: float) -> DataFrame:
+    """Each leg once under every grid cell within ``reach_m`` of it.
+
+    A leg is cut into pieces of at most ``piece_m``. Every point of a piece is within
+    half a piece of its middle, so the circle of radius reach + piece/2 round the middle
+    covers all that lies within reach of the piece.
+    """
+    ends = legs.select(
+        *[c for c in legs.columns if c not in ("a_lat", "a_lon", "b_lat", "b_lon")],
+        geo.unit_vector(F.col("a_lat"), F.col("a_lon")).alias("_a"),
+        geo.unit_vector(F.col("b_lat"), F.col("b_lon")).alias("_b"),
+    )
+    sized = ends.withColumn("_theta", geo.arc(F.col("_a"), F.col("_b"))).withColumn(
+        "_n", F.greatest(F.lit(1), F.ceil(F.col("_theta") * geo.EARTH_M / piece_m)).cast("int")
+    )
+    centres = geo.piece_centres(F.col("_a"), F.col("_b"), F.col("_theta"), F.col("_n"))
+    cells = geo.cells_within(centres, reach_m + piece_m / 2, cell_m)
+    return sized.withColumn("_cell", F.explode(cells)).drop("_theta", "_n")
+
+
 def corridor_join(
     routes: DataFrame,
     points: DataFrame,
@@ -51,20 +71,14 @@ def corridor_join(
         raise ValueError("corridor_m must be positive: a surveyed point never lies exactly on a line")
     piece_m = max(piece_m, corridor_m)
     cell_m = piece_m + 2 * corridor_m
-    legs = segments(routes, route_id)
-    cells = geo.cells_along(
-        *[F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")], corridor_m, piece_m, cell_m
-    )
-    legs = legs.withColumn("_cell", F.explode(cells))
-    placed = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn(
-        "_cell", geo.cell_of(F.col(lat), F.col(lon), cell_m)
+    legs = _with_cells(segments(routes, route_id), corridor_m, piece_m, cell_m)
+    placed = (
+        points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        .withColumn("_cell", geo.cell_of(F.col(lat), F.col(lon), cell_m))
+        .withColumn("_p", geo.unit_vector(F.col(lat), F.col(lon)))
     )
     near = balanced_join(legs, placed, "_cell")
-    metres = geo.segment_distance_m(
-        geo.unit_vector(F.col(lat), F.col(lon)),
-        geo.unit_vector(F.col("a_lat"), F.col("a_lon")),
-        geo.unit_vector(F.col("b_lat"), F.col("b_lon")),
-    )
+    metres = geo.segment_distance_m(F.col("_p"), F.col("_a"), F.col("_b"))
     hits = near.withColumn("distance_m", metres).where(F.col("distance_m") <= corridor_m)
     kept = [c for c in points.columns if c != point_id]
     return hits.groupBy(route_id, point_id).agg(
@@ -74,7 +88,7 @@ def corridor_join(
 
 def within_radius(df: DataFrame, lat: float, lon: float, metres: float, lat_col: str = "latitude", lon_col: str = "longitude") -> DataFrame:
     """Rows within ``metres`` of a place; a latitude band goes first, as it can be pushed down."""
-    band = geo._degrees(metres)
+    band = geo.degrees_of(metres)
     away = geo.point_distance_m(F.col(lat_col), F.col(lon_col), F.lit(lat), F.lit(lon))
     return (
         df.where(F.col(lat_col).between(lat - band, lat + band))

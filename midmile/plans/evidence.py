@@ -41,7 +41,7 @@ def _(v: Views):
 
 
 @register("w3_rank_hits", """SELECT query_id, chunk_id, rank FROM (SELECT o_custkey AS query_id, o_orderkey AS chunk_id,
-       row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) x WHERE rank <= 5""")
+       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders) x WHERE rank <= 5""")
 def _(v: Views):
     scored = v.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("score"))
     return R.rank_hits(scored).drop("score")
@@ -68,11 +68,11 @@ def _fallback(v: Views):
 @register(
     "r4_keyword_fallback",
     r"""SELECT query_id, record_type, chunk_id, rank, 0.0e0 AS score FROM (SELECT query_id, d.lang AS record_type, d.doc_id AS chunk_id,
-        row_number() OVER (PARTITION BY query_id ORDER BY d.lang, d.doc_id) AS rank FROM (SELECT conv_id * 100 + turn AS query_id,
-        list_transform(list_filter(regexp_split_to_array(text, '\s+'), w -> length(w) >= 4)[1:6], w -> lower(w)) AS kw
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY d.lang, d.doc_id) AS INTEGER) AS rank FROM (SELECT conv_id * 100 + turn AS query_id,
+        [lower(w) FOR w IN [w FOR w IN regexp_split_to_array(text, '\s+') IF length(w) >= 4][1:6]] AS kw
         FROM conversations WHERE role = 'user' AND conv_id * 100 + turn NOT IN (SELECT query_id * 100 FROM cosine_hits)) q,
         (SELECT doc_id, lang, lower(text) AS t FROM documents) d
-        WHERE len(kw) = 0 OR len(list_filter(kw, w -> contains(d.t, w))) > 0) x WHERE rank <= 5""",
+        WHERE len(kw) = 0 OR len([w FOR w IN kw IF contains(d.t, w)]) > 0) x WHERE rank <= 5""",
 )
 def _(v: Views):
     return _fallback(v)
@@ -84,11 +84,12 @@ def _described_hits(v: Views):
     return _cosine(v).join(texts, "chunk_id").withColumnRenamed("lang", "record_type")
 
 
-_BLOCKS = r"""SELECT query_id, '[RETRIEVED CONSTRAINTS]' || chr(10) || string_agg(rank || '. ' || lang || ' | ' || chunk_id
+_BLOCKS = r"""SELECT query_id, '[RETRIEVED CONSTRAINTS]' || chr(10) || coalesce(lines, '(No relevant logistics records found for this query.)')
+    || chr(10) || '[END RETRIEVED CONSTRAINTS]' AS block FROM (SELECT c.query_id, string_agg(rank || '. ' || lang || ' | ' || chunk_id
     || CASE WHEN score > 0 THEN ' (score: ' || printf('%.4f', score) || ')' ELSE '' END
     || CASE WHEN length(body) > 0 THEN chr(10) || '   ' || regexp_replace(body, '\r\n|[\n\r]', chr(10) || '   ', 'g') ELSE '' END,
-    chr(10) ORDER BY rank) || chr(10) || '[END RETRIEVED CONSTRAINTS]' AS block FROM (SELECT h.*, lang,
-    regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM cosine_hits h JOIN documents d ON d.doc_id = h.chunk_id) x GROUP BY 1"""
+    chr(10) ORDER BY rank) AS lines FROM centroids c LEFT JOIN (SELECT h.*, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body
+    FROM cosine_hits h JOIN documents d ON d.doc_id = h.chunk_id) x ON x.query_id = c.query_id GROUP BY 1) q"""
 
 
 @register("r5_evidence_block", _BLOCKS)
@@ -136,11 +137,11 @@ def _(v: Views):
 @register(
     "r8_evidence_bundle",
     """SELECT 'accident_risk' AS source, rank, state || '/' || city AS item, 'accident_risk,bridge_data,logistics_data' AS sources FROM (
-         SELECT *, row_number() OVER (ORDER BY incident_count DESC, state, city) AS rank FROM heat_city) h WHERE rank <= 5
+         SELECT *, CAST(row_number() OVER (ORDER BY incident_count DESC, state, city) AS INTEGER) AS rank FROM heat_city) h WHERE rank <= 5
        UNION ALL SELECT 'bridge_data', rank, CAST(bridge_id AS VARCHAR), 'accident_risk,bridge_data,logistics_data' FROM (
-         SELECT bridge_id, row_number() OVER (ORDER BY bridge_id) AS rank FROM bridges) b WHERE rank <= 5
+         SELECT bridge_id, CAST(row_number() OVER (ORDER BY bridge_id) AS INTEGER) AS rank FROM bridges) b WHERE rank <= 5
        UNION ALL SELECT 'logistics_data', rank, CAST(doc_id AS VARCHAR), 'accident_risk,bridge_data,logistics_data' FROM (
-         SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents) d WHERE rank <= 5""",
+         SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS rank FROM documents) d WHERE rank <= 5""",
 )
 def _(v: Views):
     chunks = v.documents.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("record_type"), F.col("text").alias("text_content"))
@@ -173,7 +174,7 @@ def _(v: Views):
 
 @register(
     "r10_rrf",
-    f"""SELECT query_id, chunk_id, round(score, 10) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    f"""SELECT query_id, chunk_id, round(score, 10) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (
         SELECT query_id, chunk_id, round(coalesce(0.4e0 / (60 + rank_dense), 0) + coalesce(0.2e0 / (60 + rank_near), 0), 12) AS score FROM ({_MERGED}) m) s) r WHERE rank <= 5""",
 )
 def _(v: Views):
@@ -187,7 +188,7 @@ def _(v: Views):
     r"""SELECT doc_id, chunk_no, len(part) AS n_tokens, md5(array_to_string(part, ' ')) AS digest FROM (
         SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, w[chunk_no * 448 + 1 : chunk_no * 448 + 512] AS part FROM (
           SELECT doc_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 512) / 448.0e0)) AS BIGINT) + 1)) AS chunk_no FROM (
-            SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), t -> t <> '') AS w FROM documents) a WHERE len(w) > 0) b) c""",
+            SELECT doc_id, [t FOR t IN regexp_split_to_array(text, '\s+') IF t <> ''] AS w FROM documents) a WHERE len(w) > 0) b) c""",
 )
 def _(v: Views):
     chunks = R.token_chunks(v.documents)
@@ -273,7 +274,7 @@ def _(v: Views):
     "e2_retrieval_metrics",
     """SELECT t.query_id, coalesce(good, 0) / CAST(n_truth AS DOUBLE) AS recall_at_k, coalesce(1.0e0 / first_good, 0) AS reciprocal_rank,
        round(coalesce(dcg, 0) / ideal, 9) AS ndcg_at_k, coalesce(good / CAST(n AS DOUBLE), 0) AS attribution FROM (
-         SELECT label AS query_id, count(*) AS n_truth, list_sum(list_transform(range(1, least(count(*), 5) + 1), i -> 1 / log2(i + 1))) AS ideal
+         SELECT label AS query_id, count(*) AS n_truth, list_sum([1 / log2(i + 1) FOR i IN range(1, least(count(*), 5) + 1)]) AS ideal
          FROM embeddings GROUP BY 1) t LEFT JOIN (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE label = query_id) AS good,
          min(rank) FILTER (WHERE label = query_id) AS first_good, sum(CASE WHEN label = query_id THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg
          FROM cosine_hits GROUP BY 1) h ON h.query_id = t.query_id""",

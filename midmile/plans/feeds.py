@@ -31,7 +31,7 @@ def _per_type(df):
 @register(
     "s7_load_new",
     """SELECT event_type, count(*) AS records, (SELECT count(*) FROM events WHERE event_id % 2 = 0) AS first_load,
-       (SELECT count(*) FROM events WHERE event_id % 2 = 1) AS second_load, 0 AS third_load FROM events GROUP BY 1""",
+       (SELECT count(*) FROM events WHERE event_id % 2 = 1) AS second_load, CAST(0 AS BIGINT) AS third_load FROM events GROUP BY 1""",
 )
 def _(v: Views):
     src, dst, ckpt = (fresh_path(v.spark, f"new-{n}") for n in ("src", "dst", "ckpt"))

@@ -208,9 +208,9 @@ def _(v: Views):
     return M.pair_variants(v.golden)
 
 
-@register("j9_orphans", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT l_partkey FROM lineitem)")
+@register("j9_orphans", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(v: Views):
-    return Q.orphans(v.orders, v.lineitem, "o_custkey", "l_partkey").select("o_orderkey", "o_custkey")
+    return Q.orphans(v.documents, v.labels, "doc_id", "doc_id").select("doc_id", "lang")
 
 
 # ---- data checks -------------------------------------------------------------------
@@ -277,11 +277,11 @@ def _(v: Views):
     "q6_foreign_key",
     _CHECK.format("foreign_key", "orders", "o_custkey", "count(*)", 0, "count(*) = 0", "orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
     + " UNION ALL "
-    + _CHECK.format("foreign_key", "orders", "o_custkey", "count(*)", 0, "count(*) = 0", "orders WHERE o_custkey NOT IN (SELECT l_partkey FROM lineitem)"),
+    + _CHECK.format("foreign_key", "documents", "doc_id", "count(*)", 0, "count(*) = 0", "documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
 )
 def _(v: Views):
     good = Q.check_fk(v.orders, v.customer, "o_custkey", "c_custkey", "orders")
-    return good.unionByName(Q.check_fk(v.orders, v.lineitem, "o_custkey", "l_partkey", "orders"))
+    return good.unionByName(Q.check_fk(v.documents, v.labels, "doc_id", "doc_id", "documents"))
 
 
 @register(

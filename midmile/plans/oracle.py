@@ -110,9 +110,9 @@ CTES = {
         GROUP BY 1, 2) c GROUP BY 1""",
     "cosines": """SELECT query_id, vec_id AS chunk_id, label, round(list_dot_product(vector, e) / (sqrt(list_dot_product(vector, vector))
         * sqrt(list_dot_product(e, e))), 9) AS score FROM centroids, (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) x""",
-    "cosine_hits": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+    "cosine_hits": """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
         FROM cosines) x WHERE rank <= 5""",
-    "l2_hits": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
+    "l2_hits": """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM (
         SELECT query_id, vec_id AS chunk_id, round(list_distance(vector, CAST(embedding AS DOUBLE[])), 9) AS distance
         FROM centroids, embeddings) d) x WHERE rank <= 5""",
     "delays": """SELECT *, days_for_shipping_real - days_for_shipment_scheduled AS delay_days FROM shipments""",
@@ -135,13 +135,13 @@ CTES = {
     "asked": """SELECT item_id AS query_id, text AS q, CASE WHEN item_id % 3 <> 0 THEN 'item ' || item_id ELSE '' END AS e FROM benchmark""",
     "shown": """SELECT *, row_number() OVER (ORDER BY example_id) AS rn FROM (SELECT conv_id * 100 + turn AS example_id, instruction,
         coalesce(context, '') AS context, output FROM pairs_text) x""",
-    "doc_words": r"""SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), w -> w <> '') AS ws FROM documents""",
+    "doc_words": r"""SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents""",
     "bm_tf": """SELECT doc_id, len(ws) AS dl, word, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS word FROM doc_words) x
         GROUP BY doc_id, dl, word""",
     "bm_query": r"""SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM benchmark""",
     "bm_scores": """SELECT query_id, doc_id AS chunk_id, round(sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5e0) / (df + 0.5e0))
         * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / (SELECT avg(len(ws)) FROM doc_words)))), 9) AS score
         FROM bm_query JOIN bm_tf USING (word) JOIN (SELECT word, count(*) AS df FROM bm_tf GROUP BY 1) f USING (word) GROUP BY 1, 2""",
-    "bm_hits": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+    "bm_hits": """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank
         FROM bm_scores WHERE score > 0) x WHERE rank <= 5""",
 }

@@ -87,7 +87,7 @@ def _(v: Views):
 
 @register(
     "w4_worst_bridges",
-    f"""SELECT * FROM (SELECT {PROFILE}, bridge_id, row_number() OVER (PARTITION BY {PROFILE} ORDER BY weight_margin ASC NULLS LAST, bridge_id) AS rank
+    f"""SELECT * FROM (SELECT {PROFILE}, bridge_id, CAST(row_number() OVER (PARTITION BY {PROFILE} ORDER BY weight_margin ASC NULLS LAST, bridge_id) AS INTEGER) AS rank
         FROM ({_FAILED}) f) r WHERE rank <= 50""",
 )
 def _(v: Views):

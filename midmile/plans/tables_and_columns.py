@@ -92,7 +92,7 @@ def _(v: Views):
 
 @register(
     "s6_scan_years",
-    """SELECT year(date) AS year, count(*) AS readings, sum(CAST(station AS BIGINT)) :: BIGINT AS stations FROM weather
+    """SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS readings, sum(CAST(station AS BIGINT)) :: BIGINT AS stations FROM weather
        WHERE year(date) IN (1997, 1998, 2000) GROUP BY 1""",
 )
 def _(v: Views):
@@ -508,11 +508,11 @@ def _(v: Views):
 
 @register(
     "f7_blackspots",
-    "SELECT state, city, incident_count, avg_severity FROM heat_city WHERE incident_count > 100 ORDER BY incident_count DESC, state, city LIMIT 50",
+    "SELECT state, city, incident_count, avg_severity FROM heat_city WHERE incident_count > 75 ORDER BY incident_count DESC, state, city LIMIT 50",
 )
 def _(v: Views):
     heat = A.heatmap_by_city(A.risk_heatmap(v.accidents))
-    return A.blackspots(heat).select("state", "city", "incident_count", "avg_severity")
+    return A.blackspots(heat, min_count=75).select("state", "city", "incident_count", "avg_severity")
 
 
 @register("f8_active_alerts", "SELECT station, date, weather_alert FROM alerts WHERE weather_alert <> 'Normal conditions'")
