@@ -18,6 +18,11 @@ FLEET_FUELS = ("Diesel", "CNG", "Electric")  # fixed values
 KPI_TRUCKS, KPI_LOCATIONS, KPI_LOG_ROWS = 30, 50, 25  # fixed values: rows behind each dashboard summary
 
 
+def _mean(column: Column | str) -> Column:
+    """Mean of an exact sum, so it does not depend on the order of the rows."""
+    return F.sum(column).cast("double") / F.nullif(F.count(column), F.lit(0))
+
+
 # ---- heatmap -----------------------------------------------------------------------
 
 
@@ -98,7 +103,7 @@ def fleet_table(trips: DataFrame, n: int = KPI_TRUCKS) -> DataFrame:
     grouped = completed_trips(trips).groupBy(*keys).agg(
         F.count("*").alias("trips"),
         F.round(F.sum(F.col("actual_distance_miles").cast("decimal(18,4)")), 0).alias("total_miles"),
-        F.round(F.avg(F.col("average_mpg").cast("decimal(18,6)")), 2).alias("avg_mpg"),
+        F.round(_mean(F.col("average_mpg").cast("decimal(18,6)")), 2).alias("avg_mpg"),
         F.round(F.sum("revenue"), 2).alias("total_revenue"),
     )
     return top_n(min_group(grouped), [F.desc("total_revenue")], keys, n)
@@ -120,7 +125,7 @@ def route_scorecard(trips: DataFrame) -> DataFrame:
         F.sum("revenue").alias("total_revenue"),
         profit.alias("gross_profit"),
         (profit.cast("double") / F.nullif(F.sum("revenue").cast("double"), F.lit(0.0)) * 100).alias("margin_pct"),
-        F.avg(F.col("average_mpg").cast("decimal(18,6)")).alias("avg_mpg"),
+        _mean(F.col("average_mpg").cast("decimal(18,6)")).alias("avg_mpg"),
     )
 
 
@@ -144,7 +149,7 @@ def fuel_by_location(fuel: DataFrame) -> DataFrame:
     return fuel.groupBy("location", "location_state").agg(
         F.sum("fuel_cost").alias("total_spend"),
         F.sum(F.col("fuel_gallons").cast("decimal(18,4)")).alias("total_gallons"),
-        F.avg("price_per_gallon").alias("avg_price_per_gallon"),
+        _mean("price_per_gallon").alias("avg_price_per_gallon"),
     )
 
 
@@ -159,8 +164,8 @@ def fuel_by_state(fuel: DataFrame, n: int = KPI_LOCATIONS) -> DataFrame:
 
 def fuel_by_route(fuel: DataFrame) -> DataFrame:
     return fuel.groupBy("route_id").agg(
-        F.avg("fuel_cost").alias("avg_fuel_cost"),
-        F.avg(F.col("fuel_gallons").cast("decimal(18,4)")).alias("avg_fuel_gallons"),
+        _mean("fuel_cost").alias("avg_fuel_cost"),
+        _mean(F.col("fuel_gallons").cast("decimal(18,4)")).alias("avg_fuel_gallons"),
     )
 
 
@@ -185,7 +190,7 @@ def safety_by_type(incidents: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("incidents"),
             F.round(F.sum("claim_amount"), 0).alias("claims"),
-            F.round(F.avg("claim_amount"), 0).alias("avg_claim"),
+            F.round(_mean("claim_amount"), 0).alias("avg_claim"),
         )
         .orderBy(F.desc("incidents"), "incident_type")
     )

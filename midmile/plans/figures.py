@@ -68,19 +68,17 @@ def _(v: Views):
     )
 
 
-@register("a8_route_scorecard", "SELECT route_id, total_loads, total_revenue, gross_profit, margin_pct, round(avg_mpg, 6) AS avg_mpg FROM scorecard")
+@register("a8_route_scorecard", "SELECT route_id, total_loads, total_revenue, gross_profit, margin_pct, avg_mpg FROM scorecard")
 def _(v: Views):
-    card = A.route_scorecard(v.trips).withColumns(_double("total_revenue", "gross_profit"))
-    return card.withColumn("avg_mpg", F.round(F.col("avg_mpg").cast("double"), 6))
+    return A.route_scorecard(v.trips).withColumns(_double("total_revenue", "gross_profit"))
 
 
 @register(
     "a9_fuel_by_location",
-    "SELECT location, location_state, total_spend, total_gallons, round(avg_price_per_gallon, 5) AS avg_price_per_gallon FROM fuel_spend",
+    "SELECT location, location_state, total_spend, total_gallons, avg_price_per_gallon FROM fuel_spend",
 )
 def _(v: Views):
-    spend = A.fuel_by_location(v.fuel).withColumns(_double("total_spend", "total_gallons"))
-    return spend.withColumn("avg_price_per_gallon", F.round(F.col("avg_price_per_gallon").cast("double"), 5))
+    return A.fuel_by_location(v.fuel).withColumns(_double("total_spend", "total_gallons"))
 
 
 @register(
@@ -120,12 +118,11 @@ def _(v: Views):
 
 @register(
     "a14_fuel_by_route",
-    """SELECT route_id, round(CAST(sum(fuel_cost) AS DOUBLE) / count(*), 4) AS avg_fuel_cost,
-       round(CAST(sum(CAST(fuel_gallons AS DECIMAL(18,4))) AS DOUBLE) / count(*), 6) AS avg_fuel_gallons FROM fuel GROUP BY 1""",
+    """SELECT route_id, CAST(sum(fuel_cost) AS DOUBLE) / count(*) AS avg_fuel_cost,
+       CAST(sum(CAST(fuel_gallons AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS avg_fuel_gallons FROM fuel GROUP BY 1""",
 )
 def _(v: Views):
-    rounded = lambda c, n: F.round(F.col(c).cast("double"), n).alias(c)
-    return A.fuel_by_route(v.fuel).select("route_id", rounded("avg_fuel_cost", 4), rounded("avg_fuel_gallons", 6))
+    return A.fuel_by_route(v.fuel)
 
 
 @register("a15_delay_by_mode", "SELECT shipping_mode, avg(delay_days) AS avg_delay_days, count(*) AS shipments FROM delays GROUP BY 1")
