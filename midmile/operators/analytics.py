@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from midmile.functions import columns as C
 from midmile.operators.ranking import top_n
+from midmile.runtime import stage
 
 FLEET_KEYS = ["truck_id", "truck_make", "truck_year", "fuel_type", "driver_name", "driver_terminal"]
 FLEET_FUELS = ("Diesel", "CNG", "Electric")  # fixed values
@@ -46,8 +47,11 @@ def risk_score(heat: DataFrame, w_count: float = 0.5, w_sev: float = 0.5) -> Dat
     if not 0 < w_count + w_sev:
         raise ValueError("weights must sum to more than 0")
 
+    ends = [f(c).alias(f"{n}_{c}") for c in ("incident_count", "avg_severity") for n, f in (("lo", F.min), ("hi", F.max))]
+    bounds = heat.agg(F.struct(*ends)).scalar()
+
     def scaled(c: str) -> Column:
-        lo, hi = heat.agg(F.min(c)).scalar(), heat.agg(F.max(c)).scalar()
+        lo, hi = bounds[f"lo_{c}"], bounds[f"hi_{c}"]
         return F.coalesce((F.col(c) - lo) / F.nullif((hi - lo).cast("double"), F.lit(0.0)), F.lit(0.0))
 
     both = w_count * scaled("incident_count") + w_sev * scaled("avg_severity")
@@ -226,34 +230,31 @@ def preview(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 
 
 def latency_quantiles(
-    log: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.99), value: str = "execution_time_ms", buckets: int = 4096
+    log: DataFrame, qs: Sequence[float] = (0.5, 0.9, 0.99), value: str = "execution_time_ms"
 ) -> DataFrame:
     """Exact quantiles: the smallest value with at least a share ``q`` of the rows at or below it.
 
-    Values are counted first. Equal-width buckets (a bounded number) get running totals;
-    only the one bucket that holds a quantile is then looked at value by value, so no
-    task sees all values. Use ``approx_quantiles`` where an estimate will do.
+    Values are counted, then range-partitioned; running totals over the partitions (one
+    row each) tell which of them hold a quantile, and only those are looked at value by
+    value. Use ``approx_quantiles`` where an estimate will do.
     """
     counts = log.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count("*").alias("n")
     )
-    lo, hi = counts.agg(F.min("v")).scalar(), counts.agg(F.max("v")).scalar()
-    width = F.nullif((hi - lo) / buckets, F.lit(0.0))
-    slot = F.coalesce(F.least(F.floor((F.col("v") - lo) / width), F.lit(buckets - 1)), F.lit(0)).cast("int")
-    placed = counts.withColumn("slot", slot)
-    run = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    slots = placed.groupBy("slot").agg(F.sum("n").alias("n"))  # at most `buckets` rows
-    ends = slots.select("slot", F.sum("n").over(run).alias("upto"), "n")
-    total = log.agg(F.count(value)).scalar()
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
+    placed = stage(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "value-counts")
+    sums = placed.groupBy("part").agg(F.sum("n").alias("n"))
+    run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # one row per partition
+    total = placed.agg(F.sum("n")).scalar()
     homes = (
-        ends.withColumn("q", wanted)
+        sums.select("part", F.sum("n").over(run).alias("upto"), "n")
+        .withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
         .withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("q") * total)))
         .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        .select("slot", "q", "rank", (F.col("upto") - F.col("n")).alias("before"))
+        .select("part", "q", "rank", (F.col("upto") - F.col("n")).alias("before"))
     )
     within = Window.partitionBy("q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.join(F.broadcast(homes), "slot").withColumn("upto", F.col("before") + F.sum("n").over(within))
+    # homes has one row per quantile
+    found = placed.join(F.broadcast(homes), "part").withColumn("upto", F.col("before") + F.sum("n").over(within))
     return found.where(F.col("upto") >= F.col("rank")).groupBy("q").agg(F.min("v").alias("value"))
 
 

@@ -62,15 +62,29 @@ def _best(pdf: pd.DataFrame, query_ids: list, queries: np.ndarray, k: int, score
     return pd.concat(rows, ignore_index=True)
 
 
-def _score_topk(queries: DataFrame, chunks: DataFrame, k: int, score: Scorer, block: int, slice_rows: int) -> DataFrame:
-    """``queries(query_id, vector)`` against ``chunks(chunk_id, vector)``: k best per query."""
-    schema = T.StructType(
+def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
+    return T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
+
+
+def _home(key: str, n: int) -> Column:
+    """One of ``n`` places for a row, by its key."""
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def _each(n: int) -> Column:
+    """A copy of the row for each of ``n`` places."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _score_topk(queries: DataFrame, chunks: DataFrame, k: int, score: Scorer, block: int, slice_rows: int) -> DataFrame:
+    """``queries(query_id, vector)`` against ``chunks(chunk_id, vector)``: k best per query."""
+    schema = _hit_schema(queries, chunks)
     head = queries.limit(block + 1).toPandas()
     if len(head) <= block:
         ids = list(head["query_id"])
@@ -84,10 +98,8 @@ def _score_topk(queries: DataFrame, chunks: DataFrame, k: int, score: Scorer, bl
     else:
         n_blocks = -(-queries.count() // block)
         n_slices = max(1, -(-chunks.count() // slice_rows))
-        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        home = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        q = queries.withColumn("_block", home("query_id", n_blocks)).withColumn("_slice", numbers(n_slices))
-        c = chunks.withColumn("_slice", home("chunk_id", n_slices)).withColumn("_block", numbers(n_blocks))
+        q = queries.withColumn("_block", _home("query_id", n_blocks)).withColumn("_slice", _each(n_slices))
+        c = chunks.withColumn("_slice", _home("chunk_id", n_slices)).withColumn("_block", _each(n_blocks))
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if right.empty:
@@ -196,63 +208,73 @@ def keyword_fallback(
     return top_per_group(found, ["query_id"], order, k).withColumn("score", F.lit(0.0))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, block: int = QUERY_BLOCK, slice_rows: int = CHUNK_SLICE, vocabulary_bound: int = 50_000) -> DataFrame:
+BM25_BLOCK = 256  # queries scored together: bounds the word-by-query matrix of a task
+TERM_SLICE = 1_000_000  # (document, word) counts that a task holds
+
+
+def _bm25_scores(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Scores of one slice of documents for one block of queries, the ``k`` best per query."""
+
+    def score(terms: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if terms.empty or asked.empty:
+            return _best(terms, [], np.zeros((0, 1)), k, _product)
+        q_code, q_ids = pd.factorize(asked["query_id"])
+        w_code, words = pd.factorize(asked["word"])
+        weights = np.zeros((len(q_ids), len(words)))
+        weights[q_code, w_code] = 1.0
+        at = pd.Index(words).get_indexer(terms["word"])
+        terms, at = terms[at >= 0], at[at >= 0]
+        d_code, d_ids = pd.factorize(terms["chunk_id"], sort=True)
+        order = np.argsort(d_code, kind="stable")
+        d_code, at, value = d_code[order], at[order], terms["w"].to_numpy()[order]
+        found = []
+        for first in range(0, len(d_ids), 256):  # bounds the dense rows held at a time
+            lo, hi = np.searchsorted(d_code, [first, first + 256])
+            ids = np.asarray(d_ids[first : first + 256])
+            dense = np.zeros((len(ids), len(words)))
+            dense[d_code[lo:hi] - first, at[lo:hi]] = value[lo:hi]
+            rows = _best(pd.DataFrame({"chunk_id": ids, "vector": list(dense)}), list(q_ids), weights, k, _product)
+            found.append(rows[rows["score"] > 0])
+        return pd.concat(found, ignore_index=True) if found else _best(terms, [], weights, k, _product)
+
+    return score
+
+
+def bm25(
+    queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75,
+    block: int = BM25_BLOCK, slice_rows: int = TERM_SLICE,
+) -> DataFrame:
     """``query_id, chunk_id, score, rank`` by BM25 over lower-case words; score 0 is no hit.
 
-    A document becomes a sparse vector over the words the queries use; scoring is then
-    the same batched product as for embeddings. Term counts are reduced before every
-    shuffle, and the common word of a language is one row per document.
+    Only words that some query uses are counted. Slices of documents meet blocks of
+    queries and each meeting returns its best ``k`` per query, so a word that stands in
+    most documents costs one row per document and never a row per (query, document).
     """
-    word = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: w != "")
+    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     asked = queries.select("query_id", F.explode(F.array_distinct(word(F.col("query_text")))).alias("word"))
+    asked = stage(asked, "query-words")
     texts = docs.select("chunk_id", word(F.col("text_content")).alias("words"))
-    n_docs = texts.agg(F.count("*")).scalar()
-    mean_len = texts.agg(F.avg(F.size("words"))).scalar()
-    counted = (
+    corpus = texts.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_len"))).scalar()
+    counted = stage(
         texts.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("word"))
         .join(asked.select("word").distinct(), "word", "left_semi")
-        .groupBy("chunk_id", "len", "word").agg(F.count("*").alias("tf"))
+        .groupBy("chunk_id", "len", "word")
+        .agg(F.count("*").alias("tf")),
+        "term-counts",
     )
-    counted = stage(counted, "term-counts")
     df = counted.groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = counted.withColumn(
-        "w", F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len))
-    ).join(df.select("word", idf.alias("idf")), "word").withColumn("w", F.col("w") * F.col("idf"))
-    per_doc = scored.select("chunk_id", "word", "w")
-
-    terms = df.select("word").limit(vocabulary_bound + 1).toPandas()["word"]
-    if len(terms) <= vocabulary_bound and queries.limit(block + 1).count() <= block:
-        place = {w: i for i, w in enumerate(sorted(terms))}
-        asked_rows = asked.where(F.col("word").isNotNull()).toPandas()  # at most block queries' words
-        ids = sorted(asked_rows["query_id"].unique().tolist())
-        at = {q: i for i, q in enumerate(ids)}
-        weights = np.zeros((len(ids), len(place)))
-        for q, w in zip(asked_rows["query_id"], asked_rows["word"]):
-            if w in place:
-                weights[at[q], place[w]] = 1.0
-        schema = T.StructType([
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("chunk_id", docs.schema["chunk_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for start in range(0, len(pdf), 256):  # bounds the dense rows held at a time
-                    part = pdf.iloc[start:start + 256]
-                    dense = np.zeros((len(part), len(place)))
-                    for i, (ws, vs) in enumerate(zip(part["words"], part["ws"])):
-                        dense[i, [place[w] for w in ws]] = vs
-                    found = _best(pd.DataFrame({"chunk_id": part["chunk_id"], "vector": list(dense)}), ids, weights, k, _product)
-                    yield found[found["score"] > 0]
-
-        # one list entry per word the queries use: bounded by the vocabulary checked above
-        sparse = per_doc.groupBy("chunk_id").agg(F.collect_list("word").alias("words"), F.collect_list("w").alias("ws"))
-        found = sparse.mapInPandas(run, schema)
-    else:
-        hits = balanced_join(per_doc, asked, "word")
-        found = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), DECIMALS).alias("score"))
+    idf = df.select("word", F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / corpus["mean_len"]))
+    terms = counted.join(idf, "word").select("chunk_id", "word", (tf * F.col("idf")).alias("w"))
+
+    n_blocks = max(1, -(-queries.count() // block))
+    n_slices = max(1, -(-counted.count() // slice_rows), counted.sparkSession.sparkContext.defaultParallelism)
+    terms = terms.withColumn("_slice", _home("chunk_id", n_slices)).withColumn("_block", _each(n_blocks))
+    wanted = asked.withColumn("_block", _home("query_id", n_blocks)).withColumn("_slice", _each(n_slices))
+    pair = ["_block", "_slice"]
+    found = terms.groupBy(*pair).cogroup(wanted.groupBy(*pair)).applyInPandas(
+        _bm25_scores(k), _hit_schema(queries, docs)
+    )
     return rank_hits(found, k)
 
 
@@ -332,7 +354,6 @@ CHAIN_EXAMPLES, FEW_EXAMPLES = 2, 3  # fixed values
 def _examples(examples: DataFrame, n: int, answer: str, numbered: bool) -> Column:
     """The first ``n`` examples as one text; a one-row subquery, not a join."""
     first = examples.orderBy("example_id").limit(n)
-    head = F.concat(F.lit("--- Example "), F.col("i").cast("string"), F.lit(" ---\n")) if numbered else F.lit("")
     line = lambda x: F.concat(
         F.lit("Query: "), x["instruction"], F.lit("\nEvidence: "), x["context"], F.lit(f"\n{answer}: "), x["output"]
     )
@@ -396,12 +417,12 @@ def token_chunks(docs: DataFrame, size: int = 512, overlap: int = 64, key: str =
     words = F.filter(F.split(F.col(column), r"\s+"), lambda w: w != "")
     n = F.size("_w")
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int")
+    window = lambda i: F.struct(i.alias("chunk_no"), F.slice("_w", i * step + 1, F.lit(size)).alias("part"))
     return (
         docs.select(key, words.alias("_w"))
         .where(n > 0)
-        .select(key, "_w", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-        .withColumn("_part", F.slice("_w", F.col("chunk_no") * step + 1, F.lit(size)))
-        .select(key, "chunk_no", F.size("_part").alias("n_tokens"), F.array_join("_part", " ").alias("text_content"))
+        .select(key, F.inline(F.transform(F.sequence(F.lit(0), last), window)))
+        .select(key, "chunk_no", F.size("part").alias("n_tokens"), F.array_join("part", " ").alias("text_content"))
     )
 
 
