@@ -71,7 +71,7 @@ def violations(hits: DataFrame, vehicles: DataFrame) -> DataFrame:
     weight, height = F.col("vehicle_weight_tons"), F.col("vehicle_height_mt")
     profiles = vehicles.select(*PROFILE).distinct()
     stopped = C.violates(F.col("min_limit"), weight, F.col("min_clearance"), height)
-    suspects = _with_limits(profiles, hits).where(stopped).select(*PROFILE)
+    suspects = stage(_with_limits(profiles, hits).where(stopped).select(*PROFILE), "stopped-vehicles")
     met = balanced_join(suspects, hits.select("route_id", "bridge_id", "clearance_mt", "load_limit_tons"), "route_id")
     return (
         met.where(C.violates(F.col("load_limit_tons"), weight, F.col("clearance_mt"), height))
@@ -87,6 +87,7 @@ def worst_bridges(fails: DataFrame, n: int = 50) -> DataFrame:
 
 def failing_bridges(fails: DataFrame, cap: int = 50) -> DataFrame:
     """Per route and vehicle: the true number of failing bridges, and the worst ``cap`` as a list."""
+    fails = stage(fails, "failing-bridges")
     listed = worst_bridges(fails, cap).groupBy(*PROFILE).agg(
         F.sort_array(F.collect_list(F.struct("rank", "bridge_id", "weight_margin", "clearance_margin"))).alias("bridges")
     )

@@ -176,30 +176,33 @@ def keyword_fallback(
     """For queries without a hit: the first ``k`` documents that contain any keyword.
 
     ``docs(chunk_id, record_type, text_content)`` in order of type and id, score 0. A
-    keyword has no blank, so it lies within one word of a text: keywords are matched
-    against the distinct words, found through shared four-letter pieces, and each word
-    carries only its first ``k`` documents. The first ``k`` of a union are among the
-    first ``k`` of its parts, so nothing is lost and no (query, document) table arises.
+    keyword has no blank, so it lies within one word of a text. Keywords are matched
+    against the distinct words, found through shared four-letter pieces; a second pass
+    over the texts keeps, for each matched word, its first ``k`` documents. The first
+    ``k`` of a union are among the first ``k`` of its parts, so nothing is lost and no
+    (query, document) table arises.
     """
     order = [F.asc("record_type"), F.asc("chunk_id")]
     open_queries = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     words = F.expr("explode_outer(_kw)").alias("keyword")
     asked = open_queries.withColumn("_kw", keywords(F.col("query_text"), min_len, max_kw)).select("query_id", words)
-    asked = asked.withColumn("keyword", F.coalesce("keyword", F.lit("")))
+    asked = stage(asked.withColumn("keyword", F.coalesce("keyword", F.lit(""))), "query-keywords")
 
-    word = F.explode(F.array_distinct(F.split(F.lower("text_content"), r"\s+"))).alias("word")
-    first = stage(
-        top_per_group(docs.select("chunk_id", "record_type", word).where("word <> ''"), ["word"], order, k, "_r").drop("_r"),
-        "word-postings",
-    )
     piece = min_len
     pieces = F.expr(f"transform(sequence(1, length(word) - {piece - 1}), i -> substr(word, i, {piece}))")
+    word = F.explode(F.array_distinct(F.split(F.lower("text_content"), r"\s+"))).alias("word")
+    spread = docs.select("chunk_id", "record_type", word)
     vocabulary = (
-        first.select("word").distinct().where(F.length("word") >= piece)
+        spread.select("word").where(F.length("word") >= piece).distinct()
         .select("word", F.explode(F.array_distinct(pieces)).alias("_piece"))
     )
     sought = asked.select("keyword").distinct().where("keyword <> ''").withColumn("_piece", F.substring("keyword", 1, piece))
-    matched = balanced_join(sought, vocabulary, "_piece").where(F.contains("word", "keyword")).select("keyword", "word")
+    sought = stage(sought, "keywords")
+    shared = stage(vocabulary.join(sought.select("_piece").distinct(), "_piece", "left_semi"), "shared-pieces")
+    pairs = balanced_join(sought, shared, "_piece").where(F.contains("word", "keyword"))
+    matched = stage(pairs.select("keyword", "word"), "keyword-words")
+    postings = spread.join(matched.select("word").distinct(), "word", "left_semi")
+    first = top_per_group(postings, ["word"], order, k, "_r").drop("_r")
     per_word = matched.join(first, "word").select("keyword", "record_type", "chunk_id").distinct()
     anything = docs.select("record_type", "chunk_id").orderBy(*order).limit(k)
     per_keyword = top_per_group(per_word, ["keyword"], order, k, "_r").drop("_r")
@@ -254,14 +257,14 @@ def bm25(
     asked = queries.select("query_id", F.explode(F.array_distinct(word(F.col("query_text")))).alias("word"))
     asked = stage(asked, "query-words")
     texts = docs.select("chunk_id", word(F.col("text_content")).alias("words"))
-    corpus = texts.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_len"))).scalar()
-    counted = stage(
-        texts.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("word"))
-        .join(asked.select("word").distinct(), "word", "left_semi")
-        .groupBy("chunk_id", "len", "word")
-        .agg(F.count("*").alias("tf")),
-        "term-counts",
+    # every document also counts the word "", so that its length is kept in the same pass
+    marked = texts.select("chunk_id", F.size("words").alias("len"), F.explode(F.concat("words", F.array(F.lit("")))).alias("word"))
+    kept = asked.select("word").unionByName(asked.sparkSession.range(1).select(F.lit("").alias("word"))).distinct()
+    tallies = stage(
+        marked.join(kept, "word", "left_semi").groupBy("chunk_id", "len", "word").agg(F.count("*").alias("tf")), "term-counts"
     )
+    counted = tallies.where("word <> ''")
+    corpus = tallies.where("word = ''").agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean_len"))).scalar()
     df = counted.groupBy("word").agg(F.count("*").alias("df"))
     idf = df.select("word", F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / corpus["mean_len"]))

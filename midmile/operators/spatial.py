@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from midmile.functions import geo
 from midmile.operators.ranking import balanced_join
+from midmile.runtime import stage
 
 
 def with_route_points(routes: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def route_weather(routes: DataFrame, stations: DataFrame, alerts: DataFrame, max
     ``alerts`` has one row per station and date.
     """
     near = corridor_join(routes, stations, max_km * 1000, point_id="station")
-    near = near.select("route_id", "station", "distance_m")
+    near = stage(near.select("route_id", "station", "distance_m"), "near-stations")
     paired = balanced_join(near, alerts, "station")
     best = F.min_by(F.struct("station", "weather_alert"), F.struct("distance_m", "station")).alias("best")
     return (

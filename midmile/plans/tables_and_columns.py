@@ -16,7 +16,7 @@ from midmile.operators import silver as S
 from midmile.operators import spatial
 from midmile.plans.registry import register
 from midmile.plans.views import OPS_FILES, Views
-from midmile.runtime import fresh_path
+from midmile.runtime import fresh_path, stage
 from midmile.sources import readers, tables, writers
 from midmile.sources.schema import columns
 
@@ -399,7 +399,7 @@ def _met(v: Views):
     """Requests with the bridges of their route (route lines meet bridges within 500 m)."""
     from midmile.operators.gate import bridge_hits
 
-    hits = bridge_hits(spatial.with_route_points(v.routes), v.bridges, 500.0)
+    hits = stage(bridge_hits(spatial.with_route_points(v.routes), v.bridges, 500.0), "bridge-hits")
     return ranking.balanced_join(hits, v.route_requests, "route_id")
 
 
