@@ -17,16 +17,25 @@ def top_n(df: DataFrame, by: Sequence[Column], keys: Sequence[str], n: int) -> D
     return df.orderBy(*by, *keys).limit(n)
 
 
+TRIMMED_RANKS = 1000  # Spark trims groups before the shuffle up to this many ranks
+TRIM_SLICES = 64
+
+
 def top_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
     """First ``n`` rows of every group.
 
     Spark trims each group to ``n`` rows per input partition before the shuffle
-    (WindowGroupLimit), so a hot group never lands whole in one task.
+    (WindowGroupLimit), so a hot group never lands whole in one task. It does so for
+    small ``n`` only; beyond that, slices of each group are trimmed first.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if n > TRIMMED_RANKS:
+        home = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(TRIM_SLICES))
+        sliced = df.withColumn("_slice", home).withColumn(rank, number(*group, "_slice"))
+        df = sliced.filter(F.col(rank) <= n).drop("_slice", rank)
+    return df.withColumn(rank, number(*group)).filter(F.col(rank) <= n)
 
 
 def row_index(
@@ -74,36 +83,35 @@ def row_index(
     )
 
 
-def balanced_join(
-    left: DataFrame, right: DataFrame, key: str, target_rows: int = 100_000, how: str = "inner"
-) -> DataFrame:
+def balanced_join(left: DataFrame, right: DataFrame, key: str, target_rows: int = 100_000) -> DataFrame:
     """Inner equi-join on ``key`` that splits every hot key over several tasks.
 
-    A key with more than ``target_rows`` rows on a side is cut into fragments of
-    about that size: its left rows are spread over ``l`` fragments, its right rows
-    over ``r``, and each fragment pair meets exactly once. The table of hot keys has
-    at most (rows / target_rows) rows per side, which bounds the broadcast.
+    A key with more than ``target_rows`` rows on a side is cut into fragments of about
+    that size: its left rows are spread over ``l`` fragments, its right rows over ``r``,
+    and each pair of fragments meets exactly once. The list of hot keys is staged, so
+    its real size decides how it is joined; when there are none, this is a plain
+    sort-merge join. Both inputs are read twice: stage them if they are costly.
     """
-    if how != "inner":
-        raise ValueError("balanced_join is an inner join")
-
     def hot(df: DataFrame, cuts: str) -> DataFrame:
         n = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > target_rows)
         return n.select(key, F.ceil(F.col("_n") / target_rows).cast("int").alias(cuts))
 
-    cuts = F.broadcast(hot(left, "_lcuts").join(hot(right, "_rcuts"), key, "full_outer"))
-    lcuts = F.coalesce("_lcuts", F.lit(1))
-    rcuts = F.coalesce("_rcuts", F.lit(1))
+    # an estimate made before an explode says little, hence no broadcast of either side
+    right_plain = right.hint("merge")
+    cuts = stage(hot(left, "_lcuts").join(hot(right, "_rcuts"), key, "full_outer"), "hot-keys")
+    if cuts.isEmpty():
+        return left.join(right_plain, key)
 
-    def spread(df: DataFrame, own: Column, other: Column, own_name: str, other_name: str) -> DataFrame:
-        place = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), own).cast("int")
+    def spread(df: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce(own, F.lit(1)))
+        copies = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
         return (
             df.join(cuts, key, "left")
-            .withColumn(own_name, place)
-            .withColumn(other_name, F.explode(F.sequence(F.lit(0), (other - 1).cast("int"))))
+            .withColumn(own_name, place.cast("int"))
+            .withColumn(other_name, F.explode(copies))
             .drop("_lcuts", "_rcuts")
         )
 
-    l2 = spread(left, lcuts, rcuts, "_l", "_r")
-    r2 = spread(right, rcuts, lcuts, "_r", "_l")
+    l2 = spread(left, "_lcuts", "_rcuts", "_l", "_r")
+    r2 = spread(right, "_rcuts", "_lcuts", "_r", "_l")
     return l2.join(r2.hint("merge"), [key, "_l", "_r"]).drop("_l", "_r")

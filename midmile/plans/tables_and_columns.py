@@ -160,8 +160,8 @@ def _(v: Views):
     "s14_create_layer",
     """SELECT 'traffic_incidents' AS table_name, 16 AS n_columns, count(*) AS records FROM accidents
        UNION ALL SELECT 'bridge_inventory', 8, count(*) FROM bridges
-       UNION ALL SELECT 'raw_logistics', 7, count(*) FROM shipments
-       UNION ALL SELECT 'noaa_gsod', 20, count(*) FROM weather""",
+       UNION ALL SELECT 'raw_logistics', 8, count(*) FROM shipments
+       UNION ALL SELECT 'noaa_gsod', 28, count(*) FROM weather""",
 )
 def _(v: Views):
     db = _database(v, "bronze")
@@ -495,9 +495,9 @@ def _(v: Views):
     return R.keyword_match(v.documents, "text", "the Bridge of tionthe or enhaa").select("doc_id", "source")
 
 
-@register("f5_has_embedding", "SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0")
+@register("f5_has_embedding", "SELECT vec_id, label FROM embeddings WHERE label <> 3")
 def _(v: Views):
-    some = v.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")))
+    some = v.embeddings.withColumn("embedding", F.when(F.col("label") != 3, F.col("embedding")))
     return R.has_embedding(some).select("vec_id", "label")
 
 

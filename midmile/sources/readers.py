@@ -27,7 +27,13 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str
     return reader.option("quote", '"').option("escape", '"').options(**options).csv(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def scan_by_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """CSV whose columns are those of its header, all as text; only the first line decides."""
+    reader = spark.read.option("header", True).option("encoding", encoding)
+    return reader.option("quote", '"').option("escape", '"').csv(path)
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
@@ -39,7 +45,7 @@ def scan_tagged(
     return {
         file: scan_csv(spark, f"{folder}/{file}", schemas[file]).withColumn("record_type", F.lit(kind))
         for file, kind in files.items()
-        if _exists(spark, f"{folder}/{file}")
+        if file_exists(spark, f"{folder}/{file}")
     }
 
 

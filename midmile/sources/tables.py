@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from midmile.operators.silver import UNIFIED
 from midmile.sources.schema import columns
 
-
 _STAMPED_UNIFIED = T.StructType(UNIFIED.fields + [T.StructField("_ingested_at", T.TimestampType())])
 
 BRONZE = {
@@ -22,16 +21,18 @@ BRONZE = {
     ),
     "noaa_gsod": columns(
         "station string, date date, latitude double, longitude double, elevation double, name string, "
-        "temp double, dewp double, slp double, stp double, visib double, wdsp double, mxspd double, gust double, "
-        "max double, min double, prcp double, sndp double, frshtt string, data_year int"
+        "temp double, temp_attributes int, dewp double, dewp_attributes int, slp double, slp_attributes int, "
+        "stp double, stp_attributes int, visib double, visib_attributes int, wdsp double, wdsp_attributes int, "
+        "mxspd double, gust double, max double, max_attributes string, min double, min_attributes string, "
+        "prcp double, prcp_attributes string, sndp double, frshtt string"
     ),
     "bridge_inventory": columns(
         "bridge_id string, bridge_name string, state_code int, condition string, clearance_mt double, "
         "load_limit_tons double, latitude double, longitude double"
     ),
     "raw_logistics": columns(
-        "order_id string, order_date date, delivery_date date, shipping_mode string, days_for_shipping_real int, "
-        "days_for_shipment_scheduled int, late_delivery_risk string"
+        "order_id string, order_date date, shipping_date date, delivery_date date, shipping_mode string, "
+        "days_for_shipping_real int, days_for_shipment_scheduled int, late_delivery_risk string"
     ),
     "logistics": _STAMPED_UNIFIED,
 }
@@ -45,11 +46,12 @@ SILVER = {
     ),
     "bridge_inventory_geo": columns(
         "bridge_id string, bridge_name string, state_code int, condition string, clearance_mt double, "
-        "load_limit_tons double, location point, _processed_at timestamp"
+        "load_limit_tons double, latitude double, longitude double, location point, _processed_at timestamp"
     ),
     "cleaned_logistics": columns(
-        "order_id string, order_date date, delivery_date date, shipping_mode string, delay_days int, "
-        "late_delivery_risk_score int, delay_propensity double, _inserted_at timestamp"
+        "order_id string, order_date date, shipping_date date, delivery_date date, shipping_mode string, "
+        "late_delivery_risk string, delay_days int, late_delivery_risk_score int, delay_propensity double, "
+        "delay_zscore double, _inserted_at timestamp"
     ),
     "logistics_vectorized": columns(
         "chunk_id string, record_type string, text_content string, metadata string, embedding floats, "

@@ -86,3 +86,16 @@ def test_top_n_is_a_bounded_take(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("n"), "id")
     best = top_n(df, [F.desc("n")], ["id"], 3)
     assert [r.id for r in best.collect()] == [9, 19, 29] and "TakeOrderedAndProject" in plan(best)
+
+
+def test_many_ranks_of_a_hot_group(spark):
+    df = spark.range(9000).select(F.lit("hot").alias("g"), F.col("id").alias("v"))
+    top = top_per_group(df, ["g"], [F.desc("v")], 2500)
+    assert sorted(r.v for r in top.collect()) == list(range(6500, 9000))
+    assert "_slice" in plan(top)
+
+
+def test_no_hot_key_means_a_plain_join(spark):
+    left, right = spark.range(50).withColumnRenamed("id", "k"), spark.range(30).withColumnRenamed("id", "k")
+    joined = balanced_join(left, right, "k")
+    assert joined.count() == 30 and "explode" not in plan(joined).lower()
