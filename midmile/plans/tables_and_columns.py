@@ -607,10 +607,14 @@ def _(v: Views):
     return A.preview(v.shipments.select("order_id", "shipping_mode", "late_delivery_risk"), ["order_id"], 5)
 
 
-@register("t4_seeded_order")
+@register("t4_seeded_order", "SELECT lang, count(*) AS docs, count(*) AS places, true AS repeats FROM documents GROUP BY 1")
 def _(v: Views):
-    shuffled = v.documents.select("doc_id", "lang", C.seeded_order(F.col("doc_id")).alias("position"))
-    return ranking.top_per_group(shuffled, ["lang"], [F.asc("position"), F.asc("doc_id")], 5)
+    """Every document gets a place of its own, the same one in another partitioning."""
+    place = lambda df: df.select("doc_id", "lang", C.seeded_order(F.col("doc_id")).alias("place"))
+    again = place(v.documents.select("doc_id", "lang").repartition(3, "lang")).select("doc_id", F.col("place").alias("again"))
+    return place(v.documents).join(again, "doc_id").groupBy("lang").agg(
+        F.count("*").alias("docs"), F.countDistinct("place").alias("places"), F.bool_and(F.col("place") == F.col("again")).alias("repeats")
+    )
 
 
 @register("t5_state_heatmap", "SELECT city, hour, incident_count, avg_severity FROM heat WHERE state = 'NATION_7'")
