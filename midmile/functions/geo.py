@@ -55,6 +55,64 @@ def segment_distance_m(p: Column, a: Column, b: Column) -> Column:
     return F.when(beside, F.asin(F.least(F.lit(1.0), F.try_divide(across, n))) * EARTH_M).otherwise(ends)
 
 
+# A join tests very many pairs of a leg and a point. What depends on one side only is kept
+# as plain columns, so that a test is a few products and the compiled loop stays small.
+
+
+def leg_columns(a: Column, b: Column) -> list[Column]:
+    """Ends of a leg, its unit normal, and the directions that bound the points beside it."""
+    cos_ab = _dot(a, b)
+    normal = {
+        "x": a["y"] * b["z"] - a["z"] * b["y"],
+        "y": a["z"] * b["x"] - a["x"] * b["z"],
+        "z": a["x"] * b["y"] - a["y"] * b["x"],
+    }
+    size = F.sqrt(sum((n * n for n in normal.values()), F.lit(0.0)))
+    out = []
+    for k in "xyz":
+        out += [
+            a[k].alias(f"_a{k}"),
+            b[k].alias(f"_b{k}"),
+            F.when(size > 0, F.try_divide(normal[k], size)).alias(f"_m{k}"),  # NULL for a leg of no length
+            (b[k] - cos_ab * a[k]).alias(f"_u{k}"),
+            (a[k] - cos_ab * b[k]).alias(f"_w{k}"),
+        ]
+    return out
+
+
+def point_columns(lat: Column, lon: Column) -> dict[str, Column]:
+    v = unit_vector(lat, lon)
+    return {f"_p{k}": v[k] for k in "xyz"}
+
+
+def _times(name: str) -> Column:
+    """Product of the point with one of the leg's vectors."""
+    return sum((F.col(f"_p{k}") * F.col(f"_{name}{k}") for k in "yz"), F.col("_px") * F.col(f"_{name}x"))
+
+
+def _chord2(end: str) -> Column:
+    """Squared straight distance of the point to an end of the leg."""
+    step = lambda k: F.col(f"_p{k}") - F.col(f"_{end}{k}")
+    return step("x") * step("x") + step("y") * step("y") + step("z") * step("z")
+
+
+def _beside() -> Column:
+    return F.col("_mx").isNotNull() & (_times("u") >= 0) & (_times("w") >= 0)
+
+
+def leg_within(metres: float) -> Column:
+    """Whether point and leg are within ``metres``, without any trigonometry."""
+    angle = min(metres / EARTH_M, math.pi)
+    across = F.abs(_times("m")) <= (math.sin(angle) if angle < math.pi / 2 else 1.0)
+    ends = F.least(_chord2("a"), _chord2("b")) <= (2 * math.sin(angle / 2)) ** 2
+    return F.when(_beside(), across).otherwise(ends)
+
+
+def leg_distance_m() -> Column:
+    ends = 2 * F.asin(F.least(F.lit(1.0), F.sqrt(F.least(_chord2("a"), _chord2("b"))) / 2))
+    return F.when(_beside(), F.asin(F.least(F.lit(1.0), F.abs(_times("m"))))).otherwise(ends) * EARTH_M
+
+
 def degrees_of(metres: float) -> float:
     return math.degrees(metres / EARTH_M)
 

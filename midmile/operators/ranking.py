@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from midmile.runtime import stage
@@ -94,24 +94,37 @@ def row_index(
     )
 
 
-def balanced_join(left: DataFrame, right: DataFrame, key: str, target_rows: int = 100_000) -> DataFrame:
+MOST_TASKS = 20_000
+
+
+def balanced_join(
+    left: DataFrame, right: DataFrame, key: str, target_rows: int = 100_000, target_pairs: int = 4_000_000
+) -> DataFrame:
     """Inner equi-join on ``key`` that splits every hot key over several tasks.
 
-    A key with more than ``target_rows`` rows on a side is cut into fragments of about
-    that size: its left rows are spread over ``l`` fragments, its right rows over ``r``,
-    and each pair of fragments meets exactly once. The list of hot keys is staged, so
-    its real size decides how it is joined; when there are none, this is a plain
-    sort-merge join. Both inputs are read twice: stage them if they are costly.
+    A key is hot when a side has more than ``target_rows`` rows of it or both together
+    make more than ``target_pairs`` pairs. Its left rows are spread over ``l`` fragments,
+    its right rows over ``r``, and each pair of fragments meets exactly once. The list of
+    hot keys is staged, so its real size decides how it is joined; when there are none,
+    this is a plain sort-merge join. The number of tasks follows the number of pairs, as
+    the bytes that adaptive execution goes by say nothing of them. Both inputs are read
+    twice: stage them if they are costly.
     """
-    def hot(df: DataFrame, cuts: str) -> DataFrame:
-        n = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > target_rows)
-        return n.select(key, F.ceil(F.col("_n") / target_rows).cast("int").alias(cuts))
-
-    # an estimate made before an explode says little, hence no broadcast of either side
-    right_plain = right.hint("merge")
-    cuts = stage(hot(left, "_lcuts").join(hot(right, "_rcuts"), key, "full_outer"), "hot-keys")
-    if cuts.isEmpty():
-        return left.join(right_plain, key)
+    size = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    rows = size(left, "_nl").join(size(right, "_nr"), key, "full_outer").na.fill(0, ["_nl", "_nr"])
+    nl, nr = F.col("_nl").cast("double"), F.col("_nr").cast("double")
+    seen = Observation()
+    rows = rows.observe(seen, F.sum(nl * nr).alias("pairs"))
+    hot = rows.where((nl > target_rows) | (nr > target_rows) | (nl * nr > target_pairs))
+    side = float(target_pairs) ** 0.5
+
+    def pieces(own: Column, other: Column) -> Column:
+        """Fragments of a side: of at most ``target_rows`` rows, smaller where the other side is large."""
+        each = F.least(F.lit(float(target_rows)), F.greatest(F.lit(side), target_pairs / F.greatest(other, F.lit(1.0))))
+        return F.greatest(F.lit(1), F.ceil(own / each)).cast("int")
+
+    cuts = stage(hot.select(key, pieces(nl, nr).alias("_lcuts"), pieces(nr, nl).alias("_rcuts")), "hot-keys")
+    needed = int((seen.get["pairs"] or 0) / target_pairs)
 
     def spread(df: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
         place = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce(own, F.lit(1)))
@@ -123,6 +136,13 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, target_rows: int
             .drop("_lcuts", "_rcuts")
         )
 
-    l2 = spread(left, "_lcuts", "_rcuts", "_l", "_r")
-    r2 = spread(right, "_rcuts", "_lcuts", "_r", "_l")
-    return l2.join(r2.hint("merge"), [key, "_l", "_r"]).drop("_l", "_r")
+    on = [key]
+    if not cuts.isEmpty():
+        left, right = spread(left, "_lcuts", "_rcuts", "_l", "_r"), spread(right, "_rcuts", "_lcuts", "_r", "_l")
+        on = [key, "_l", "_r"]
+    if needed:
+        least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(least, min(needed, MOST_TASKS))
+        left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
+    # an estimate made before an explode says little, hence no broadcast of either side
+    return left.join(right.hint("merge"), on).drop("_l", "_r")

@@ -48,7 +48,8 @@ def _with_cells(legs: DataFrame, reach_m: float, piece_m: float, cell_m: float)
     )
     centres = geo.piece_centres(F.col("_a"), F.col("_b"), F.col("_theta"), F.col("_n"))
     cells = geo.cells_within(centres, reach_m + piece_m / 2, cell_m)
-    return sized.withColumn("_cell", F.explode(cells)).drop("_theta", "_n")
+    located = sized.select("*", *geo.leg_columns(F.col("_a"), F.col("_b")), F.explode(cells).alias("_cell"))
+    return located.drop("_theta", "_n", "_a", "_b")
 
 
 def corridor_join(
@@ -76,12 +77,13 @@ def corridor_join(
     placed = (
         points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
         .withColumn("_cell", geo.cell_of(F.col(lat), F.col(lon), cell_m))
-        .withColumn("_p", geo.unit_vector(F.col(lat), F.col(lon)))
+        .withColumns(geo.point_columns(F.col(lat), F.col(lon)))
     )
     near = balanced_join(legs, placed, "_cell")
-    metres = geo.segment_distance_m(F.col("_p"), F.col("_a"), F.col("_b"))
-    hits = near.withColumn("distance_m", metres).where(F.col("distance_m") <= corridor_m)
+    hits = near.where(geo.leg_within(corridor_m)).withColumn("distance_m", geo.leg_distance_m())
     kept = [c for c in points.columns if c != point_id]
+    if routes.where(F.size("points") > 2).isEmpty():  # a route of one leg meets a point once
+        return hits.select(route_id, point_id, "distance_m", *kept)
     return hits.groupBy(route_id, point_id).agg(
         F.min("distance_m").alias("distance_m"), *[F.any_value(c).alias(c) for c in kept]
     )

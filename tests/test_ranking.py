@@ -72,27 +72,23 @@ def test_record_ids_ignore_partitioning(spark):
     assert ids(df.repartition(1)) == ids(df.repartition(6))
 
 
-@pytest.mark.parametrize("target", [10, 1000])
-def test_balanced_join_equals_join(spark, target):
+@pytest.mark.parametrize("target, pairs", [(10, 10**9), (1000, 10**9), (1000, 50), (7, 20)])
+def test_balanced_join_equals_join(spark, target, pairs):
     random.seed(2)
     left = spark.createDataFrame([(0 if i % 3 == 0 else i % 50, i) for i in range(300)], "k int, a int")
     right = spark.createDataFrame([(0 if i % 2 == 0 else i % 60, i) for i in range(200)], "k int, b int")
-    got = balanced_join(left, right, "k", target_rows=target)
+    got = balanced_join(left, right, "k", target_rows=target, target_pairs=pairs)
     want = left.join(right, "k")
     rows = lambda d: sorted((r.k, r.a, r.b) for r in d.collect())
     assert rows(got) == rows(want)
 
 
 def test_balanced_join_spreads_a_hot_key(spark):
-    left = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("a"))
-    right = spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("b"))
-    joined = balanced_join(left, right, "k", target_rows=50)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(parts) > 4 and sum(r["count"] for r in parts) == 40_000
+    left = stage(spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("a")), "left")
+    right = stage(spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("b")), "right")
+    joined = balanced_join(left, right, "k", target_rows=50, target_pairs=1000)
+    parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) > 8 and sum(r["count"] for r in parts) == 40_000
 
 
 def test_top_per_group_limits_before_the_shuffle(spark):
