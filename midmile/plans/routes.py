@@ -60,7 +60,7 @@ def _(v: Views):
 )
 def _(v: Views):
     alerts = S.active_alerts(S.weather_alerts(v.weather))
-    daily = alerts.groupBy("station", "date").agg(F.min("weather_alert").alias("weather_alert"))
+    daily = stage(alerts.groupBy("station", "date").agg(F.min("weather_alert").alias("weather_alert")), "daily-alerts")
     return spatial.route_weather(_routes(v), v.stations, daily).withColumn("distance_m", F.round("distance_m", 2))
 
 
