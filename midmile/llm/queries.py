@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from midmile.llm import byte_bpe, chat, decontaminate, html_text, language_id, near_dup, url_lists, vector_join, warc
+from midmile.llm import byte_bpe, chat, context_mix, decontaminate, html_text, language_id, near_dup, url_lists, vector_join, warc
 from midmile.llm.common import fold, table
 from midmile.runtime import fresh_path, stage
 
@@ -31,6 +31,12 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@register
+def op2_context_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document, learned from four of five folds."""
+    return context_mix.score(table(spark, folder, "documents", "doc_id", "text"), fold("doc_id", 5) == 1)
+
+
 @register
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to archives and read back."""
