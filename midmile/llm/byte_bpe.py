@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,27 +21,41 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _LONG_SPACE = re.compile(f"[{_SPACE}]{{1000,}}")
 
 
-@lru_cache(maxsize=4)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoding of a rank file, loaded once in each Python worker."""
+    """The encoding of a rank file; every task loads it once."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str, chunk: int = CHUNK) -> Iterator[str]:
-    """Cut a long text at places that no match of the pattern reaches across.
+class Coder:
+    """Encodes texts of any length by a rank file."""
+
+    def __init__(self, path: str, pattern: str, chunk: int = CHUNK):
+        self.by_pattern, self.as_one, self.chunk = encoding(path, pattern), encoding(path, r"(?s).+"), chunk
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of one text; every match of the pattern is encoded by itself, special tokens never."""
+        if len(text) <= 1000:
+            return np.asarray(self.by_pattern.encode_ordinary(text), dtype=np.int32)
+        parts = [(self.as_one if one else self.by_pattern).encode_to_numpy(x, disallowed_special=()) for x, one in pieces(text, self.chunk)]
+        return np.concatenate(parts).astype(np.int32)
+
+
+def pieces(text: str, chunk: int = CHUNK) -> Iterator[tuple[str, bool]]:
+    """Cut a long text at places that no match of the pattern reaches across; flag pieces that are one match.
 
     No match runs from a letter or digit into white space. Of a run of white space before
-    another character, all but its last character are one match: a run of over 1,000 is cut
-    there, as the pattern would step back through it.
+    another character, all but its last character are one match, at the end of the text all of them:
+    runs of over 1,000 are flagged, as the pattern steps back through them and gives up in the end.
     """
     at = 0
     for run in _LONG_SPACE.finditer(text):
-        if run.end() < len(text):
-            yield from _cut(text[at : run.end() - 1], chunk)
-            at = run.end() - 1
-    yield from _cut(text[at:], chunk)
+        last = run.end() - (run.end() < len(text))
+        yield from ((x, False) for x in _cut(text[at : run.start()], chunk))
+        yield text[run.start() : last], True
+        at = last
+    yield from ((x, False) for x in _cut(text[at:], chunk))
 
 
 def _cut(text: str, chunk: int) -> Iterator[str]:
@@ -57,14 +70,6 @@ def _cut(text: str, chunk: int) -> Iterator[str]:
         yield text[at:]
 
 
-def encode_text(code: tiktoken.Encoding, text: str, chunk: int = CHUNK) -> np.ndarray:
-    """Ids of one text; every match of the pattern is encoded by itself, special tokens never."""
-    if len(text) <= 1000:
-        return np.asarray(code.encode_ordinary(text), dtype=np.int32)
-    parts = [code.encode_to_numpy(piece, disallowed_special=()) for piece in pieces(text, chunk)]
-    return np.concatenate(parts).astype(np.int32)
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """``docs`` with the column ``ids``: array of token ids of the whole ``text``.
 
@@ -76,9 +81,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
 
     @F.pandas_udf("array<int>")
     def to_ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        code = encoding(ranks, pattern)
+        coder = Coder(ranks, pattern, chunk)
         for batch in texts:
-            yield batch.map(lambda x: encode_text(code, (x or b"").decode("utf-8", "replace"), chunk))
+            yield batch.map(lambda x: coder.ids(x.decode("utf-8", "replace")))
 
     return docs.withColumn(ids, to_ids(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
 

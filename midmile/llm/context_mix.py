@@ -18,8 +18,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from midmile.llm.common import bounded_batches
@@ -105,7 +106,7 @@ def squash(t: np.ndarray) -> np.ndarray:
 class Mixer:
     """Gated weights, learned online from weighted examples, a batch at a time."""
 
-    def __init__(self, weights: np.ndarray | None = None, rate: float = 0.3):
+    def __init__(self, weights: np.ndarray | None = None, rate: float = 0.05):
         self.weights = np.full((GATES, ORDERS), 0.3) if weights is None else weights.copy()
         self.rate, self.seen = rate, np.zeros(GATES)
         self.square = np.full((GATES, ORDERS), 1e-3)
@@ -287,17 +288,26 @@ def _tables(seen: DataFrame) -> np.ndarray:
     return counts.reshape(-1, 2)[: int(BASE[-1])]
 
 
-def _learned(seen: DataFrame, counts: Broadcast) -> np.ndarray:
+def _sent(spark: SparkSession, counts: np.ndarray) -> Broadcast:
+    """The table, packed: it has a fixed size, and most of it is empty where the corpus is small."""
+    return spark.sparkContext.broadcast(zstandard.compress(counts.tobytes(), 1))
+
+
+def _unpacked(packed: Broadcast) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed.value), np.uint16).reshape(-1, 2)
+
+
+def _learned(seen: DataFrame, packed: Broadcast) -> np.ndarray:
     """Mixing weights: each task learns online from its windows; gates are averaged by what they saw."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer()
+        mixer, counts = Mixer(), _unpacked(packed)
         for batch in batches:
             x, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
             for k in range(0, len(x), 4096):
                 part = x[k : k + 4096]
                 for bit in range(8):
-                    mixer.learn(*inputs(part, bit, counts.value), bit_of(part, bit), n[k : k + 4096])
+                    mixer.learn(*inputs(part, bit, counts), bit_of(part, bit), n[k : k + 4096])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(GATES), ORDERS)), pa.array(np.tile(np.arange(ORDERS), GATES)),
              pa.array((mixer.weights * mixer.seen[:, None]).ravel()), pa.array(np.repeat(mixer.seen, ORDERS))],
@@ -312,15 +322,15 @@ def _learned(seen: DataFrame, counts: Broadcast) -> np.ndarray:
     return weights
 
 
-def _mapped(seen: DataFrame, counts: Broadcast, weights: np.ndarray) -> np.ndarray:
+def _mapped(seen: DataFrame, packed: Broadcast, weights: np.ndarray) -> np.ndarray:
     """The adaptive map: share of ones at every confidence, after every run of first bits."""
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, sums = Mixer(weights), np.zeros((2, 256 * BUCKETS))
+        mixer, sums, counts = Mixer(weights), np.zeros((2, 256 * BUCKETS)), _unpacked(packed)
         for batch in batches:
             x, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
             for bit in range(8):
-                at = place(mixer.mix(*inputs(x, bit, counts.value)))
+                at = place(mixer.mix(*inputs(x, bit, counts)))
                 low = np.minimum(at.astype(np.int64), BUCKETS - 2)
                 one, cell = bit_of(x, bit), first_bits(x, bit) * BUCKETS + low
                 for shift, part in ((0, n * (low + 1 - at)), (1, n * (at - low))):
@@ -354,9 +364,9 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     gathered = stage(gather(rows.where(~F.col("held_out")).select("text")), "gathered")
     seen, words = gathered.where("kind = 0").select("key", "n"), gathered.where("kind = 1").select("key", "n")
-    counts = spark.sparkContext.broadcast(_tables(seen))
-    weights = _learned(seen, counts)
-    model = spark.sparkContext.broadcast(Model(counts.value, weights, _mapped(seen, counts, weights)))
+    packed = _sent(spark, _tables(seen))
+    weights = _learned(seen, packed)
+    table = _mapped(seen, packed, weights)
 
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = _head_least(words)
@@ -364,7 +374,7 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
     frequent = spark.sparkContext.broadcast((head["key"].to_numpy(np.int64), np.log10(head["n"].to_numpy(np.float64) + 0.5)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Words()
+        hashes, model = _Words(), Model(_unpacked(packed), weights, table)
         keys, logs = frequent.value
         known, bits_of = np.empty(0, np.int64), np.empty(0)
         for batch, texts in _batches(batches, 3):
@@ -378,7 +388,7 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
                 if len(new):
                     both = np.concatenate([known, new])
                     order = np.argsort(both, kind="stable")
-                    known, bits_of = both[order], np.concatenate([bits_of, _looked_up(model.value, new)])[order]
+                    known, bits_of = both[order], np.concatenate([bits_of, _looked_up(model, new)])[order]
                 each = bits_of[np.searchsorted(known, x)][at]
                 ends = np.cumsum([len(p[1]) for _, p in run])
                 sums = np.add.reduceat(each, np.concatenate([[0], ends[:-1]]))
