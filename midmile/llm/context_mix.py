@@ -151,8 +151,10 @@ class Model:
     """What scoring needs: a logit and a level for every slot, the weights, and the map."""
 
     def __init__(self, counts: np.ndarray, weights: np.ndarray, table: np.ndarray):
-        self.logits = logits_of(counts.astype(np.float32)).astype(np.float32)
-        self.levels = levels_of(counts.astype(np.int64).sum(axis=1)).astype(np.uint8)
+        self.logits, self.levels = np.empty(len(counts), np.float16), np.empty(len(counts), np.uint8)
+        for k in range(0, len(counts), CHUNK):
+            part = counts[k : k + CHUNK].astype(np.float32)
+            self.logits[k : k + CHUNK], self.levels[k : k + CHUNK] = logits_of(part), levels_of(part.sum(axis=1))
         self.weights, self.table = weights.astype(np.float32), table
 
     def log2_byte(self, x: np.ndarray) -> np.ndarray:
@@ -160,7 +162,7 @@ class Model:
         total = np.zeros(len(x))
         for bit in range(8):
             at = np.stack([slots(x, o, bit) for o in range(ORDERS)], axis=1)
-            t = np.einsum("ij,ij->i", self.logits[at], self.weights[_gate(self.levels[at], bit)])
+            t = np.einsum("ij,ij->i", self.logits[at].astype(np.float32), self.weights[_gate(self.levels[at], bit)])
             p = refine(t.astype(np.float64), first_bits(x, bit), self.table)
             total += np.log2(np.where(bit_of(x, bit) == 1, p, 1 - p))
         return total
@@ -168,8 +170,11 @@ class Model:
 
 # --- Spark
 
-PIECE_BYTES = 4 << 20  # text looked up at once
-HELD = 2_000_000  # distinct windows or words that a task adds up or remembers
+PIECE_BYTES = 2 << 20  # text looked up at once
+HELD = 2_000_000  # distinct windows or words that a task adds up
+KNOWN = 1_000_000  # distinct windows whose probability a task remembers
+LEARNED = 250_000  # distinct windows that a learning task has at least, if there are so many
+STEP = 1024  # windows in one online step
 HEAD = 400_000  # frequent words that travel with every task; the others are joined
 CHUNK = 1 << 16  # slots in one row of the packed table
 _END_WORD = b"\n"  # the end token: no word has white space
@@ -304,10 +309,10 @@ def _learned(seen: DataFrame, packed: Broadcast) -> np.ndarray:
         mixer, counts = Mixer(), _unpacked(packed)
         for batch in batches:
             x, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
-            for k in range(0, len(x), 4096):
-                part = x[k : k + 4096]
+            for k in range(0, len(x), STEP):
+                part = x[k : k + STEP]
                 for bit in range(8):
-                    mixer.learn(*inputs(part, bit, counts), bit_of(part, bit), n[k : k + 4096])
+                    mixer.learn(*inputs(part, bit, counts), bit_of(part, bit), n[k : k + STEP])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(GATES), ORDERS)), pa.array(np.tile(np.arange(ORDERS), GATES)),
              pa.array((mixer.weights * mixer.seen[:, None]).ravel()), pa.array(np.repeat(mixer.seen, ORDERS))],
@@ -365,7 +370,7 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
     gathered = stage(gather(rows.where(~F.col("held_out")).select("text")), "gathered")
     seen, words = gathered.where("kind = 0").select("key", "n"), gathered.where("kind = 1").select("key", "n")
     packed = _sent(spark, _tables(seen))
-    weights = _learned(seen, packed)
+    weights = _learned(seen.coalesce(max(1, seen.count() // LEARNED)), packed)
     table = _mapped(seen, packed, weights)
 
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -383,7 +388,7 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
                 x, at = np.unique(windows([p for _, p in run]), return_inverse=True)
                 place_of = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
                 new = x[known[place_of] != x] if len(known) else x
-                if len(known) + len(new) > HELD:
+                if len(known) + len(new) > KNOWN:
                     known, bits_of, new = np.empty(0, np.int64), np.empty(0), x
                 if len(new):
                     both = np.concatenate([known, new])
