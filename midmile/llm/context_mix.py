@@ -59,24 +59,32 @@ def windows(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
     return x
 
 
-def slots(x: np.ndarray, order: int, bit: int) -> np.ndarray:
-    """Slots of an order's table for the ``bit``-th bit of the last byte, after the bits before it."""
-    x = x.astype(np.uint64)
-    context = x >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
-    seen = np.uint64(1 << bit) | (x & np.uint64(255)) >> np.uint64(8 - bit)
-    h = (context << np.uint64(8) | seen) * np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def contexts(x: np.ndarray) -> list[np.ndarray]:
+    """For every order, the part of the slots' hash that the bytes before the last one make."""
+    before = x.astype(np.uint64) >> np.uint64(8)
+    return [(before & np.uint64((1 << 8 * o) - 1)) * (_MIX << np.uint64(8)) for o in range(ORDERS)]
+
+
+def slots(context: np.ndarray, seen: np.ndarray, order: int) -> np.ndarray:
+    """Slots of an order's table after the bits ``seen`` of the last byte."""
+    h = context + seen.astype(np.uint64) * _MIX
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - BITS[order])).astype(np.int64) + BASE[order]
+    h >>= np.uint64(64 - BITS[order])
+    return h.view(np.int64) + BASE[order]
 
 
 def bit_of(x: np.ndarray, bit: int) -> np.ndarray:
     return (x >> (7 - bit) & 1).astype(np.int64)
 
 
-def inputs(x: np.ndarray, bit: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def inputs(x: np.ndarray, before: list[np.ndarray], bit: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logits of all orders (rows by ``x``) without the window's own occurrence, and the gate of each row."""
-    n = np.stack([counts[slots(x, o, bit)] for o in range(ORDERS)], axis=1).astype(np.float32)
+    seen = first_bits(x, bit)
+    n = np.stack([counts[slots(before[o], seen, o)] for o in range(ORDERS)], axis=1).astype(np.float32)
     one, at = bit_of(x, bit), np.arange(len(x))
     for o in range(ORDERS):
         n[at, o, one] = np.maximum(n[at, o, one] - 1, 0)
@@ -159,11 +167,19 @@ class Model:
 
     def log2_byte(self, x: np.ndarray) -> np.ndarray:
         """log2 of the probability of the last byte of every window."""
-        total = np.zeros(len(x))
+        total, before = np.zeros(len(x)), contexts(x)
         for bit in range(8):
-            at = np.stack([slots(x, o, bit) for o in range(ORDERS)], axis=1)
-            t = np.einsum("ij,ij->i", self.logits[at].astype(np.float32), self.weights[_gate(self.levels[at], bit)])
-            p = refine(t.astype(np.float64), first_bits(x, bit), self.table)
+            seen, t = first_bits(x, bit), np.zeros(len(x), np.float32)
+            at = [slots(before[o], seen, o) for o in range(ORDERS)]
+            levels = [self.levels[k] for k in at]
+            longest, level = np.zeros(len(x), np.int64), levels[0]
+            for o in range(1, ORDERS):  # a longer context that was seen takes over the gate
+                known = levels[o] > 0
+                longest[known], level = o, np.where(known, levels[o], level)
+            gate = (longest * 5 + np.maximum(level, 1) - 1) * 8 + bit
+            for o in range(ORDERS):
+                t += self.logits[at[o]] * self.weights[gate, o]
+            p = refine(t, seen, self.table)
             total += np.log2(np.where(bit_of(x, bit) == 1, p, 1 - p))
         return total
 
@@ -258,13 +274,14 @@ def _tables(seen: DataFrame) -> np.ndarray:
 
         def out() -> Iterator[pa.RecordBatch]:
             x, n = np.concatenate(keys), np.concatenate(counts)
+            before = contexts(x)
             keys.clear()
             counts.clear()
             for o in range(ORDERS):
                 size = 1 << BITS[o]
                 sums = np.zeros(2 * size)
                 for bit in range(8):
-                    sums += np.bincount((slots(x, o, bit) - BASE[o]) * 2 + bit_of(x, bit), n, 2 * size)
+                    sums += np.bincount((slots(before[o], first_bits(x, bit), o) - BASE[o]) * 2 + bit_of(x, bit), n, 2 * size)
                 sums = sums.reshape(size, 2)
                 used = np.flatnonzero(sums.any(axis=1))
                 for k in range(0, len(used), 100_000):
@@ -311,8 +328,9 @@ def _learned(seen: DataFrame, packed: Broadcast) -> np.ndarray:
             x, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
             for k in range(0, len(x), STEP):
                 part = x[k : k + STEP]
+                before = contexts(part)
                 for bit in range(8):
-                    mixer.learn(*inputs(part, bit, counts), bit_of(part, bit), n[k : k + STEP])
+                    mixer.learn(*inputs(part, before, bit, counts), bit_of(part, bit), n[k : k + STEP])
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(GATES), ORDERS)), pa.array(np.tile(np.arange(ORDERS), GATES)),
              pa.array((mixer.weights * mixer.seen[:, None]).ravel()), pa.array(np.repeat(mixer.seen, ORDERS))],
@@ -334,8 +352,9 @@ def _mapped(seen: DataFrame, packed: Broadcast, weights: np.ndarray) -> np.ndarr
         mixer, sums, counts = Mixer(weights), np.zeros((2, 256 * BUCKETS)), _unpacked(packed)
         for batch in batches:
             x, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
+            before = contexts(x)
             for bit in range(8):
-                at = place(mixer.mix(*inputs(x, bit, counts)))
+                at = place(mixer.mix(*inputs(x, before, bit, counts)))
                 low = np.minimum(at.astype(np.int64), BUCKETS - 2)
                 one, cell = bit_of(x, bit), first_bits(x, bit) * BUCKETS + low
                 for shift, part in ((0, n * (low + 1 - at)), (1, n * (at - low))):
@@ -463,4 +482,4 @@ def _runs(texts: list[bytes]) -> Iterator[list[tuple[int, tuple[bytes, bytes]]]]
 
 
 def _looked_up(model: Model, x: np.ndarray) -> np.ndarray:
-    return np.concatenate([model.log2_byte(x[k : k + 65_536]) for k in range(0, len(x), 65_536)])
+    return np.concatenate([model.log2_byte(x[k : k + 65_536]) for k in range(0, len(x), 16_384)])  # fits the cache

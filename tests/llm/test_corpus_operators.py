@@ -111,9 +111,9 @@ def test_counts_like_dictionaries(spark):
         bit = node.bit_length() - 1
         byte = (node << (8 - bit)) & 255
         x = np.array([int.from_bytes((b"\0" * 5 + context)[-5:] + bytes([byte]), "big")])
-        found = counts[context_mix.slots(x, order, bit)[0]]
+        found = counts[context_mix.slots(context_mix.contexts(x)[order], context_mix.first_bits(x, bit), order)[0]]
         assert (found >= [n0, n1]).all()  # a slot may be shared
-        logits, _ = context_mix.inputs(x, bit, counts)  # the window's own occurrence is left out
+        logits, _ = context_mix.inputs(x, context_mix.contexts(x), bit, counts)  # the window's own occurrence is left out
         own = [max(int(found[0]) - 1, 0), int(found[1])]
         if not context_mix.bit_of(x, bit)[0]:
             assert logits[0, order] == pytest.approx(math.log((own[1] + 0.4) / (own[0] + 0.4)), rel=1e-5)
@@ -137,7 +137,7 @@ def test_pieces_do_not_change_windows():
 def scored(spark):
     random.seed(4)
     syllables = "the and ing ion ent ver sch ung eau oux".split()
-    word = lambda: "".join(random.choice(syllables) for _ in range(random.choice([1, 2, 3, 4])))  # noqa: E731  an open vocabulary
+    word = lambda: "".join(random.choice(syllables) for _ in range(random.choice([2, 3, 4, 5])))  # noqa: E731  an open vocabulary
     rows = [(k, " ".join(word() for _ in range(random.randrange(5, 120))) + random.choice([".", "\n", ""])) for k in range(300)]
     rows += [(400, None), (401, ""), (402, " \t\n"), (403, "The THE the" * 40_000), (404, "solo"), (404, "solo"), (None, "no id")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int").repartition(4)
