@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from midmile.runtime import stage
 
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

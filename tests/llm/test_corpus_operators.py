@@ -157,10 +157,22 @@ def test_base_scores_like_brute_force(scored):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == sorted(want)
 
 
-def test_model_beats_single_tokens_on_held_out_texts(scored):
+def test_model_beats_pairs_of_bytes_on_held_out_texts(scored):
     rows, got = scored
-    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 300]
-    assert len(held) > 30 and sum(r.score for r in held) > sum(r.base_score for r in held)
+    held = {r.doc_id: r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 300}
+    learned = {r.doc_id for r in got if not r.held_out}
+    pairs, firsts = Counter(), Counter()
+    for i, t in rows:
+        if i in learned:
+            raw = b"\xfe" + (t or "").encode() + b"\xff"
+            pairs.update(zip(raw, raw[1:], strict=False))
+            firsts.update(raw[:-1])
+    by_pair = 0.0
+    for i, t in rows:
+        if i in held:
+            raw = b"\xfe" + t.encode() + b"\xff"
+            by_pair += sum(math.log10((pairs[a, b] + 0.01) / (firsts[a] + 2.56)) for a, b in zip(raw, raw[1:], strict=False))
+    assert len(held) > 30 and sum(r.score for r in held.values()) > 0.8 * by_pair
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     sizes = {i: len((t or "").encode()) for i, t in rows}
     assert all(r.bits_per_byte * (sizes[r.doc_id] + 1) * math.log10(2) == pytest.approx(-r.score) for r in got)
