@@ -58,9 +58,8 @@ def risk_score(heat: DataFrame, w_count: float = 0.5, w_sev: float = 0.5) -> Dat
     return heat.withColumn("risk_score", both / F.lit(w_count + w_sev))
 
 
-def blackspots(heat: DataFrame, min_count: int = 100, n: int = 50) -> DataFrame:
-    """Cities with more than ``min_count`` incidents, most first."""
-    keys = [c for c in ("state", "city", "hour") if c in heat.columns]
+def blackspots(heat: DataFrame, min_count: int = 100, n: int = 50, keys: Sequence[str] = ("state", "city")) -> DataFrame:
+    """Rows with more than ``min_count`` incidents, most first; ``keys`` name a row and order ties."""
     return top_n(heat.where(F.col("incident_count") > min_count), [F.desc("incident_count")], keys, n)
 
 
@@ -101,9 +100,10 @@ def min_group(df: DataFrame, n: int = 5, count: str = "trips") -> DataFrame:
     return df.where(F.col(count) >= n)
 
 
-def fleet_table(trips: DataFrame, n: int = KPI_TRUCKS) -> DataFrame:
+def fleet_table(trips: DataFrame, n: int = KPI_TRUCKS, keys: Sequence[str] = FLEET_KEYS) -> DataFrame:
     """Trucks with five or more completed trips, by revenue."""
-    keys = [k for k in FLEET_KEYS if k in trips.columns]
+    if missing := [k for k in keys if k not in trips.columns]:
+        raise ValueError(f"trips lack {', '.join(missing)}: grouping without them would merge trucks")
     grouped = completed_trips(trips).groupBy(*keys).agg(
         F.count("*").alias("trips"),
         F.round(F.sum(F.col("actual_distance_miles").cast("decimal(18,4)")), 0).alias("total_miles"),
@@ -113,8 +113,8 @@ def fleet_table(trips: DataFrame, n: int = KPI_TRUCKS) -> DataFrame:
     return top_n(min_group(grouped), [F.desc("total_revenue")], keys, n)
 
 
-def fleet_kpis(trips: DataFrame, n: int = KPI_TRUCKS) -> DataFrame:
-    return fleet_table(trips, n).agg(
+def fleet_kpis(trips: DataFrame, n: int = KPI_TRUCKS, keys: Sequence[str] = FLEET_KEYS) -> DataFrame:
+    return fleet_table(trips, n, keys).agg(
         F.count("*").alias("total_trucks"),
         F.sum("total_revenue").alias("total_revenue"),
         F.avg("avg_mpg").alias("avg_mpg"),

@@ -41,27 +41,38 @@ def _ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def classification_metrics(results: DataFrame, positive: str = VETO) -> DataFrame:
-    """Confusion counts, precision, recall, F1 and accuracy per category."""
-    want, got = F.col("expected_verdict") == positive, F.col("actual_verdict") == positive
+def classification_metrics(results: DataFrame, positive: str = VETO, labels: Sequence[str] = (VETO, "PASS")) -> DataFrame:
+    """Confusion counts, precision, recall, F1 and accuracy per category.
+
+    A missing verdict, or one that is none of the expected labels of the category, is wrong: ``unknown``
+    counts those where nothing positive was expected; they lower the accuracy, and others are misses.
+    """
+    want = F.col("expected_verdict") == positive
+    got = F.coalesce(F.col("actual_verdict") == positive, F.lit(False))
+    known = F.coalesce(F.col("actual_verdict").isin(*labels), F.lit(False))
     counts = results.groupBy("category").agg(
         F.count_if(want & got).alias("tp"),
         F.count_if(~want & got).alias("fp"),
         F.count_if(want & ~got).alias("fn"),
-        F.count_if(~want & ~got).alias("tn"),
+        F.count_if(~want & ~got & known).alias("tn"),
+        F.count_if(~want & ~known).alias("unknown"),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counts.select(
-        "category", "tp", "fp", "fn", "tn",
+        "category", "tp", "fp", "fn", "tn", "unknown",
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        _ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+        _ratio(tp + tn, tp + fp + fn + tn + F.col("unknown")).alias("accuracy"),
     )
 
 
 def confusion_matrix(results: DataFrame, labels: Sequence[str] = (VETO, "PASS")) -> DataFrame:
-    return results.groupBy("expected_verdict").pivot("actual_verdict", list(labels)).count().na.fill(0)
+    """Counts by expected and actual verdict; ``other`` and ``missing`` hold verdicts that are no label, or null."""
+    actual = F.col("actual_verdict")
+    shown = F.when(actual.isNull(), "missing").when(actual.isin(*labels), actual).otherwise("other")
+    by = results.withColumn("_shown", shown).groupBy("expected_verdict")
+    return by.pivot("_shown", [*labels, "other", "missing"]).count().na.fill(0)
 
 
 def retrieval_metrics(hits: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:

@@ -82,8 +82,6 @@ def corridor_join(
     near = balanced_join(legs, placed, "_cell")
     hits = near.where(geo.leg_within(corridor_m)).withColumn("distance_m", geo.leg_distance_m())
     kept = [c for c in points.columns if c != point_id]
-    if routes.where(F.size("points") > 2).isEmpty():  # a route of one leg meets a point once
-        return hits.select(route_id, point_id, "distance_m", *kept)
     return hits.groupBy(route_id, point_id).agg(
         F.min("distance_m").alias("distance_m"), *[F.any_value(c).alias(c) for c in kept]
     )

@@ -52,9 +52,12 @@ def _(v: Views):
 _FLEET = "truck_id, fuel_type, driver_terminal, trips, total_miles, avg_mpg, total_revenue"
 
 
+TRUCK_KEYS = ("truck_id", "fuel_type", "driver_terminal")  # what the given tables tell of a truck
+
+
 @register("a6_fleet_table", f"SELECT {_FLEET} FROM fleet30")
 def _(v: Views):
-    return A.fleet_table(v.trips).withColumns(_double("total_miles", "avg_mpg", "total_revenue"))
+    return A.fleet_table(v.trips, keys=TRUCK_KEYS).withColumns(_double("total_miles", "avg_mpg", "total_revenue"))
 
 
 @register(
@@ -62,7 +65,7 @@ def _(v: Views):
     "SELECT count(*) AS total_trucks, round(sum(total_revenue), 2) AS total_revenue, round(avg(avg_mpg), 4) AS avg_mpg FROM fleet30",
 )
 def _(v: Views):
-    return A.fleet_kpis(v.trips).select(
+    return A.fleet_kpis(v.trips, keys=TRUCK_KEYS).select(
         "total_trucks", F.round(F.col("total_revenue").cast("double"), 2).alias("total_revenue"),
         F.round(F.col("avg_mpg").cast("double"), 4).alias("avg_mpg"),
     )
@@ -354,23 +357,33 @@ def _(v: Views):
 @register(
     "e1_classification",
     """SELECT *, tp / nullif(CAST(tp + fp AS DOUBLE), 0) AS "precision", tp / nullif(CAST(tp + fn AS DOUBLE), 0) AS recall,
-       2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0) AS f1, (tp + tn) / nullif(CAST(tp + fp + fn + tn AS DOUBLE), 0) AS accuracy FROM (
+       2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0) AS f1, (tp + tn) / nullif(CAST(tp + fp + fn + tn + unknown AS DOUBLE), 0) AS accuracy FROM (
        SELECT category, count(*) FILTER (WHERE expected_verdict = 'HARD_VETO' AND actual_verdict = 'HARD_VETO') AS tp,
        count(*) FILTER (WHERE expected_verdict <> 'HARD_VETO' AND actual_verdict = 'HARD_VETO') AS fp,
-       count(*) FILTER (WHERE expected_verdict = 'HARD_VETO' AND actual_verdict <> 'HARD_VETO') AS fn,
-       count(*) FILTER (WHERE expected_verdict <> 'HARD_VETO' AND actual_verdict <> 'HARD_VETO') AS tn FROM golden GROUP BY 1) c""",
+       count(*) FILTER (WHERE expected_verdict = 'HARD_VETO' AND actual_verdict IS DISTINCT FROM 'HARD_VETO') AS fn,
+       count(*) FILTER (WHERE expected_verdict <> 'HARD_VETO' AND actual_verdict = 'PASS') AS tn,
+       count(*) FILTER (WHERE expected_verdict <> 'HARD_VETO' AND (actual_verdict IS NULL OR actual_verdict = 'ERROR')) AS unknown
+       FROM (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN 'ERROR' WHEN id % 17 = 0 THEN NULL ELSE actual_verdict END AS actual_verdict) FROM golden) g GROUP BY 1) c""",
 )
 def _(v: Views):
-    return M.classification_metrics(v.golden)
+    return M.classification_metrics(_with_failures(v.golden))
+
+
+def _with_failures(golden):
+    """Some scenarios ended in an error, or without a verdict."""
+    verdict = F.when(F.col("id") % 13 == 0, "ERROR").when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("actual_verdict"))
+    return golden.withColumn("actual_verdict", verdict)
 
 
 @register(
     "e1_confusion_matrix",
     """SELECT expected_verdict, count(*) FILTER (WHERE actual_verdict = 'HARD_VETO') AS "HARD_VETO",
-       count(*) FILTER (WHERE actual_verdict = 'PASS') AS "PASS" FROM golden GROUP BY 1""",
+       count(*) FILTER (WHERE actual_verdict = 'PASS') AS "PASS", count(*) FILTER (WHERE actual_verdict = 'ERROR') AS other,
+       count(*) FILTER (WHERE actual_verdict IS NULL) AS missing
+       FROM (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN 'ERROR' WHEN id % 17 = 0 THEN NULL ELSE actual_verdict END AS actual_verdict) FROM golden) g GROUP BY 1""",
 )
 def _(v: Views):
-    return M.confusion_matrix(v.golden)
+    return M.confusion_matrix(_with_failures(v.golden))
 
 
 @register(

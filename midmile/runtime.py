@@ -61,8 +61,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def rows_at_most(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has no more than ``bound`` rows, reading only as far as needed."""
-    return df.limit(bound + 1).count() <= bound

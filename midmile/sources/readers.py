@@ -67,11 +67,11 @@ def scan_years(spark: SparkSession, path: str, years: Sequence[int], date: str =
 
 
 def load_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows and bytes of every file below ``path``."""
+    """Rows and bytes of every file below ``path``, files without rows included."""
     rows = spark.read.schema(schema).option("header", True).csv(path)
-    return rows.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").agg(
-        F.count("*").alias("rows")
-    )
+    counts = rows.select("_metadata.file_path").groupBy("file_path").agg(F.count("*").alias("rows"))
+    files = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_size")  # no contents
+    return files.join(counts, "file_path", "left").na.fill(0, ["rows"])
 
 
 SCENARIO = columns(

@@ -6,6 +6,7 @@ its checkpoint makes a restart read each file once.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +33,20 @@ def stream_files(spark: SparkSession, src: str, schema: T.StructType, dst: str,
 
 
 def load_new(spark: SparkSession, src: str, dst: str, schema: T.StructType, ckpt: str) -> int:
-    """Load what is new since the last call and return; the number of rows loaded."""
-    query = stream_files(spark, src, schema, dst, ckpt)
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    """Load what is new since the last call and return; the number of rows loaded, counted in the table itself."""
+    before = _rows(spark, schema, dst)
+    stream_files(spark, src, schema, dst, ckpt).awaitTermination()
+    return _rows(spark, schema, dst) - before
+
+
+def _rows(spark: SparkSession, schema: T.StructType, path: str) -> int:
+    """Rows of a table by its file footers; 0 if it is not there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
 
 
 def stream_with_quarantine(

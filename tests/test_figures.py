@@ -146,6 +146,21 @@ def test_classification_without_positives(spark):
     assert (r.precision, r.recall, r.f1, r.accuracy) == (None, None, None, 1.0)
 
 
+def test_unknown_verdicts_are_wrong(spark):
+    rows = [("c", "PASS", "PASS"), ("c", "PASS", "ERROR"), ("c", "PASS", None), ("c", "HARD_VETO", None)]
+    df = spark.createDataFrame(rows, "category string, expected_verdict string, actual_verdict string")
+    r = M.classification_metrics(df).first()
+    assert (r.tn, r.unknown, r.fn, r.accuracy) == (1, 2, 1, 0.25)
+    got = {x.expected_verdict: x for x in M.confusion_matrix(df).collect()}
+    assert (got["PASS"]["PASS"], got["PASS"].other, got["PASS"].missing, got["HARD_VETO"].missing) == (1, 1, 1, 1)
+
+
+def test_fleet_without_a_key_is_refused(spark):
+    trips = spark.createDataFrame([("t", "Completed")], "truck_id string, trip_status string")
+    with pytest.raises(ValueError, match="truck_make"):
+        A.fleet_table(trips)
+
+
 def test_metamorphic_rules(spark):
     pairs = spark.createDataFrame(
         [("invariance", "PASS", "HARD_VETO"), ("monotonicity", "PASS", "HARD_VETO"), ("monotonicity", "HARD_VETO", "PASS"), ("symmetry", "PASS", "PASS")],
