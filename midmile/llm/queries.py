@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from midmile.llm import byte_bpe, chat, context_mix, decontaminate, html_text, language_id, near_dup, url_lists, vector_join, warc
 from midmile.llm.common import fold, table
+from midmile.llm.oracles import ORACLES  # noqa: F401  read by the driver's entry
 from midmile.runtime import fresh_path, stage
 
 YEAR = 365 * 86_400
 LISTS = ("adult", "malware", "spam")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def register(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
