@@ -23,17 +23,23 @@ from midmile.sources.schema import columns
 ACCIDENTS = columns(
     "accident_id bigint, start_time timestamp_ntz, state string, city string, severity int, start_lat double, start_lng double"
 )
+_CONFORMED = "record_type, load_id, truck_id, driver_id, customer_id, facility_id, route_id, revenue, cost, delivery_status, CAST(on_time_flag AS VARCHAR) AS on_time, detention_minutes, event_date, description"
+_UNION_ROWS = f"SELECT {_CONFORMED}, distance_miles, booking_type FROM ops_union"
 _ACCIDENT_ROWS = "SELECT accident_id, start_time, state, city, severity, start_lat, start_lng FROM accidents"
 
 
-def _csv(df, name: str, **options: str) -> str:
-    """Write ``df`` as CSV files below the workspace; timestamps as text with all digits."""
-    path = fresh_path(df.sparkSession, name)
+def _csv(df, name: str, path: str | None = None, **options: str) -> str:
+    """Write ``df`` as CSV files below the workspace, or add them to ``path``; timestamps as text with all digits."""
+    path = path or fresh_path(df.sparkSession, name)
     times = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
-    df.withColumns({c: F.col(c).cast("string") for c in times}).write.options(header=True, escape='"', **options).csv(path)
+    df.withColumns({c: F.col(c).cast("string") for c in times}).write.mode("append").options(header=True, escape='"', **options).csv(path)
     return path
 
 
+def _union_rows(rows):
+    return rows.selectExpr(*[e.strip().replace("VARCHAR", "STRING") for e in _CONFORMED.split(", ")], "distance_miles", "booking_type")
+
+
 def _database(v: Views, name: str) -> str:
     """A new database below the workspace."""
     db = f"{name}_{uuid.uuid4().hex}"
@@ -46,7 +52,11 @@ def _database(v: Views, name: str) -> str:
 
 @register("s1_scan_csv", _ACCIDENT_ROWS)
 def _(v: Views):
-    return readers.scan_csv(v.spark, _csv(v.accidents.select(*ACCIDENTS.fieldNames()), "accidents"), ACCIDENTS)
+    names = ACCIDENTS.fieldNames()
+    path, even = fresh_path(v.spark, "accidents"), F.col("accident_id") % 2 == 0
+    _csv(v.accidents.where(even).select(*names), "accidents", path)
+    _csv(v.accidents.where(~even).select(*reversed(names)), "accidents", path)
+    return readers.scan_csv(v.spark, path, ACCIDENTS)
 
 
 @register("s2_scan_latin1", "SELECT o_orderkey AS order_id, 'Priorité ' || o_orderpriority AS priority FROM orders")
@@ -66,16 +76,15 @@ def _(v: Views):
     return readers.scan_csv(v.spark, path, readers.all_text(["bridge_id", "bridge_name", "code"]))
 
 
-@register("s4_scan_tagged", "SELECT record_type, count(*) AS records FROM ops_records GROUP BY 1")
+@register("s4_scan_tagged", _UNION_ROWS)
 def _(v: Views):
     folder = fresh_path(v.spark, "ops-files")
     for file, view in OPS_FILES.items():
-        getattr(v, view).write.option("header", True).csv(f"{folder}/{file}")
+        getattr(v, view).write.option("header", True).option("escape", '"').csv(f"{folder}/{file}")
     schemas = {f: getattr(v, OPS_FILES[f]).schema if f in OPS_FILES else T.StructType() for f in S.RECORD_FILES}
     parts = readers.scan_tagged(v.spark, folder, S.RECORD_FILES, schemas)
-    return S.union_records([p.select("record_type") for p in parts.values()]).groupBy("record_type").agg(
-        F.count("*").alias("records")
-    )
+    rows = S.union_records([S.unify(p.drop("record_type"), S.RECORD_FILES[f]) for f, p in parts.items()])
+    return _union_rows(rows)
 
 
 @register(
@@ -245,9 +254,6 @@ def _(v: Views):
     return C.map_columns(v.src_loads, S.SOURCE_COLUMNS).drop("description")
 
 
-_CONFORMED = "record_type, load_id, truck_id, driver_id, customer_id, facility_id, route_id, revenue, cost, delivery_status, CAST(on_time_flag AS VARCHAR) AS on_time, detention_minutes, event_date, description"
-
-
 @register("p4_conform", f"SELECT {_CONFORMED}, trip_id FROM ops_union WHERE record_type = 'delivery'")
 def _(v: Views):
     rows = S.unify(v.src_delivery_events, "delivery")
@@ -622,7 +628,6 @@ def _(v: Views):
     return A.state_heatmap(A.risk_heatmap(v.accidents), "NATION_7").select("city", "hour", "incident_count", "avg_severity")
 
 
-@register("u1_union_records", f"SELECT {_CONFORMED}, distance_miles, booking_type FROM ops_union")
+@register("u1_union_records", _UNION_ROWS)
 def _(v: Views):
-    rows = S.union_records(v.ops_parts)
-    return rows.selectExpr(*[e.strip().replace("VARCHAR", "STRING") for e in _CONFORMED.split(", ")], "distance_miles", "booking_type")
+    return _union_rows(S.union_records(v.ops_parts))

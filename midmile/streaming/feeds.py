@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 BAD_ROW = "_corrupt_record"
+FILES_PER_BATCH = 1000
 
 
 def _start(writer, trigger: str | None) -> StreamingQuery:
@@ -22,8 +23,9 @@ def _start(writer, trigger: str | None) -> StreamingQuery:
 
 
 def read_feed(spark: SparkSession, src: str, schema: T.StructType, fmt: str = "csv", **options: str) -> DataFrame:
-    reader = spark.readStream.schema(schema).options(**options)
-    return reader.option("header", True).csv(src) if fmt == "csv" else reader.format(fmt).load(src)
+    """Files that arrive in ``src``, at most ``FILES_PER_BATCH`` in a batch; a CSV header unlike the schema is an error."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).options(**options)
+    return reader.option("header", True).option("enforceSchema", False).csv(src) if fmt == "csv" else reader.format(fmt).load(src)
 
 
 def stream_files(spark: SparkSession, src: str, schema: T.StructType, dst: str, ckpt: str, trigger: str | None = None) -> StreamingQuery:

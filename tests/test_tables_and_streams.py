@@ -2,6 +2,7 @@ import json
 import uuid
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,31 @@ def test_quotes_and_line_breaks_in_cells(spark):
     assert got == {1: 'a, "b"', 2: None}
 
 
+def test_columns_follow_each_header(spark):
+    folder = fresh_path(spark, "headers")
+    drop(spark, folder, "a b.csv", "name,extra,ID\nx,0,1\n")
+    drop(spark, folder, "b.csv", "id,name\n2,y\n")
+    drop(spark, folder, "c.csv", "")
+    assert {(r.id, r.name) for r in readers.scan_csv(spark, folder, ROW).collect()} == {(1, "x"), (2, "y")}
+    drop(spark, folder, "e.csv", "id\n3\n")
+    with pytest.raises(ValueError, match="no column name"):
+        readers.scan_csv(spark, folder, ROW)
+    other = fresh_path(spark, "headers")
+    drop(spark, other, "a.csv", "b,a\nB1,A1\n")
+    drop(spark, other, "b.csv", "a,c\nA2,C2\n")
+    assert {(r.a, r.b, r.c) for r in readers.scan_by_header(spark, other).collect()} == {("A1", "B1", None), ("A2", None, "C2")}
+    empty = fresh_path(spark, "headers")
+    drop(spark, empty, "a.csv", "")
+    assert readers.scan_csv(spark, empty, ROW).collect() == []
+
+
+def test_a_feed_with_another_header_fails(spark):
+    src, dst, ckpt = (fresh_path(spark, n) for n in ("src", "dst", "ckpt"))
+    drop(spark, src, "a.csv", "name,id\nx,1\n")
+    with pytest.raises(StreamingQueryException):
+        feeds.stream_files(spark, src, ROW, dst, ckpt).awaitTermination()
+
+
 def test_positional_ignores_the_header_names(spark):
     folder = fresh_path(spark, "pos")
     drop(spark, folder, "a.csv", "X,Y\n1,2024-01-05\nbad,never\n")
