@@ -16,7 +16,7 @@ from midmile.runtime import stage
 
 FLEET_KEYS = ["truck_id", "truck_make", "truck_year", "fuel_type", "driver_name", "driver_terminal"]
 FLEET_FUELS = ("Diesel", "CNG", "Electric")  # fixed values
-KPI_TRUCKS, KPI_LOCATIONS, KPI_LOG_ROWS = 30, 50, 25  # fixed values: rows behind each dashboard summary
+KPI_TRUCKS, KPI_ROUTES, KPI_LOCATIONS, KPI_LOG_ROWS = 30, 25, 50, 25  # fixed values: rows behind each dashboard summary
 
 
 def _mean(column: Column | str) -> Column:
@@ -133,12 +133,22 @@ def route_scorecard(trips: DataFrame) -> DataFrame:
     )
 
 
-def profitable(scorecard: DataFrame, min_loads: int = 5, min_margin: float = 0, n: int | None = 25) -> DataFrame:
+def profitable(scorecard: DataFrame, min_loads: int = 5, min_margin: float = 0, n: int | None = KPI_ROUTES) -> DataFrame:
     """Routes above both floors; with ``n`` the most profitable ones."""
     kept = scorecard.where((F.col("total_loads") >= min_loads) & (F.col("margin_pct") >= min_margin))
     return kept if n is None else top_n(kept, [F.desc("gross_profit")], ["route_id"], n)
 
 
+def route_kpis(scorecard: DataFrame, n: int = KPI_ROUTES) -> DataFrame:
+    """Mean margin, revenue and mean mileage of the ``n`` most profitable routes, each route counting once."""
+    return profitable(scorecard, n=n).agg(
+        F.count("*").alias("total_routes"),
+        F.avg("margin_pct").alias("avg_margin_pct"),
+        F.sum("total_revenue").alias("total_revenue"),
+        F.avg("avg_mpg").alias("avg_mpg"),
+    )
+
+
 def by_route(df: DataFrame, route_id: int | str) -> DataFrame:
     return df.where(F.col("route_id") == route_id)
 
@@ -161,6 +171,15 @@ def top_fuel_locations(fuel: DataFrame, n: int = KPI_LOCATIONS) -> DataFrame:
     return top_n(fuel_by_location(fuel), [F.desc("total_spend")], ["location", "location_state"], n)
 
 
+def fuel_kpis(fuel: DataFrame, n: int = KPI_LOCATIONS) -> DataFrame:
+    """Spend, gallons and mean price over the ``n`` locations that spend most, each location counting once."""
+    return top_fuel_locations(fuel, n).agg(
+        F.sum("total_spend").alias("total_spend"),
+        F.sum("total_gallons").alias("total_gallons"),
+        F.avg("avg_price_per_gallon").alias("avg_price_per_gallon"),
+    )
+
+
 def fuel_by_state(fuel: DataFrame, n: int = KPI_LOCATIONS) -> DataFrame:
     """Spend by state over the ``n`` locations that spend most."""
     return top_fuel_locations(fuel, n).groupBy("location_state").agg(F.sum("total_spend").alias("total_spend"))

@@ -94,9 +94,6 @@ def row_index(
     )
 
 
-MOST_TASKS = 20_000
-
-
 def balanced_join(
     left: DataFrame, right: DataFrame, key: str, target_rows: int = 100_000, target_pairs: int = 4_000_000
 ) -> DataFrame:
@@ -142,7 +139,7 @@ def balanced_join(
         on = [key, "_l", "_r"]
     if needed:
         least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        tasks = max(least, min(needed, MOST_TASKS))
+        tasks = max(least, needed)
         left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
     # an estimate made before an explode says little, hence no broadcast of either side
     return left.join(right.hint("merge"), on).drop("_l", "_r")

@@ -327,16 +327,13 @@ def evidence_block(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.select("query_id").join(per_query, "query_id", "left").select("query_id", block.alias("block"))
 
 
-GROUNDING = (
-    "INSTRUCTION: You MUST ground your answer in the [RETRIEVED CONSTRAINTS] above. "
-    "If they hold nothing relevant, say that no relevant records were found."
-)
+GROUNDING = "Use the records between the marks as the only source of facts. Where none of them fits the question, say so."
 
 
-def prompt_table(queries: DataFrame, blocks: DataFrame, base: str) -> DataFrame:
+def prompt_table(queries: DataFrame, blocks: DataFrame, base: str, instruction: str = GROUNDING) -> DataFrame:
     """Prompt per query: role text, evidence, instruction, question."""
     text = F.concat_ws(
-        "\n\n", F.lit(base.strip()), F.col("block"), F.lit(GROUNDING), F.concat(F.lit("User Query: "), F.trim("query_text"), F.lit("\n"))
+        "\n\n", F.lit(base.strip()), F.col("block"), F.lit(instruction), F.concat(F.lit("User Query: "), F.trim("query_text"), F.lit("\n"))
     )
     return queries.join(blocks, "query_id").select("query_id", text.alias("prompt"))
 

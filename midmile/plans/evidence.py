@@ -225,21 +225,21 @@ def _(v: Views):
 
 @register(
     "r13_expand",
-    f"""SELECT hop, count(*) AS reached, count(DISTINCT seed) AS seeds, min(path) AS first_path, max(path) AS last_path,
-        sum(length(path)) :: BIGINT AS path_chars FROM (
-        WITH e AS (SELECT DISTINCT src, dst FROM ({_EDGES}) x),
+    f"""SELECT seed, hop, count(*) AS reached, min(path) AS first_path, max(path) AS last_path, sum(length(path)) :: BIGINT AS path_chars
+        FROM (WITH e AS (SELECT DISTINCT src, dst FROM ({_EDGES}) x),
         h0 AS (SELECT node_id AS seed, node_id AS node, node_id AS path FROM ({_NODES}) n WHERE node_type IN ('customer', 'state')),
         h1 AS (SELECT seed, dst AS node, min(path || '>' || dst) AS path FROM h0 JOIN e ON e.src = node WHERE dst <> seed GROUP BY 1, 2),
         h2 AS (SELECT h1.seed, dst AS node, min(h1.path || '>' || dst) AS path FROM h1 JOIN e ON e.src = node WHERE dst <> h1.seed
           AND NOT EXISTS (SELECT 1 FROM h1 k WHERE k.seed = h1.seed AND k.node = e.dst) GROUP BY 1, 2)
-        SELECT 0 AS hop, * FROM h0 UNION ALL SELECT 1, * FROM h1 UNION ALL SELECT 2, * FROM h2) w GROUP BY 1""",
+        SELECT 0 AS hop, seed, node, path FROM h0 UNION ALL SELECT 1, seed, node, path FROM h1
+        UNION ALL SELECT 2, seed, node, path FROM h2) w GROUP BY 1, 2""",
 )
 def _(v: Views):
     nodes, edges = _graph(v)
     walked = graph.expand(nodes.where(F.col("node_type").isin("customer", "state")), edges, hops=2)
-    return walked.groupBy("hop").agg(
-        F.count("*").alias("reached"), F.countDistinct("seed").alias("seeds"), F.min("path").alias("first_path"),
-        F.max("path").alias("last_path"), F.sum(F.length("path")).alias("path_chars"),
+    return walked.groupBy("seed", "hop").agg(
+        F.count("*").alias("reached"), F.min("path").alias("first_path"), F.max("path").alias("last_path"),
+        F.sum(F.length("path")).alias("path_chars"),
     )
 
 

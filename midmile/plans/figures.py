@@ -76,6 +76,27 @@ def _(v: Views):
     return A.route_scorecard(v.trips).withColumns(_double("total_revenue", "gross_profit"))
 
 
+_TOP_ROUTES = "SELECT * FROM scorecard WHERE total_loads >= 5 AND margin_pct >= 0 ORDER BY gross_profit DESC, route_id LIMIT 25"
+
+
+@register("a8_top_routes", f"SELECT route_id, total_loads, total_revenue, gross_profit, margin_pct, avg_mpg FROM ({_TOP_ROUTES}) x")
+def _(v: Views):
+    return A.profitable(A.route_scorecard(v.trips)).withColumns(_double("total_revenue", "gross_profit"))
+
+
+@register(
+    "a8_route_kpis",
+    f"""SELECT count(*) AS total_routes, round(avg(margin_pct), 4) AS avg_margin_pct, round(sum(total_revenue), 2) AS total_revenue,
+        round(avg(avg_mpg), 4) AS avg_mpg FROM ({_TOP_ROUTES}) x""",
+)
+def _(v: Views):
+    return A.route_kpis(A.route_scorecard(v.trips)).select(
+        "total_routes", F.round("avg_margin_pct", 4).alias("avg_margin_pct"),
+        F.round(F.col("total_revenue").cast("double"), 2).alias("total_revenue"),
+        F.round(F.col("avg_mpg").cast("double"), 4).alias("avg_mpg"),
+    )
+
+
 @register(
     "a9_fuel_by_location",
     "SELECT location, location_state, total_spend, total_gallons, avg_price_per_gallon FROM fuel_spend",
@@ -84,6 +105,20 @@ def _(v: Views):
     return A.fuel_by_location(v.fuel).withColumns(_double("total_spend", "total_gallons"))
 
 
+@register(
+    "a10_fuel_kpis",
+    """SELECT round(sum(total_spend), 2) AS total_spend, round(sum(total_gallons), 2) AS total_gallons,
+       round(avg(avg_price_per_gallon), 4) AS avg_price_per_gallon FROM (SELECT * FROM fuel_spend
+       ORDER BY total_spend DESC, location, location_state LIMIT 50) x""",
+)
+def _(v: Views):
+    return A.fuel_kpis(v.fuel).select(
+        F.round(F.col("total_spend").cast("double"), 2).alias("total_spend"),
+        F.round(F.col("total_gallons").cast("double"), 2).alias("total_gallons"),
+        F.round(F.col("avg_price_per_gallon").cast("double"), 4).alias("avg_price_per_gallon"),
+    )
+
+
 @register(
     "a10_fuel_by_state",
     """SELECT location_state, round(sum(total_spend), 2) AS total_spend FROM (SELECT * FROM fuel_spend

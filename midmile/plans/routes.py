@@ -159,9 +159,9 @@ def _(v: Views):
 
 @register(
     "g6_choose_route",
-    """SELECT request_id % 400 AS shipment_id, arg_min(route_id, score * 1e6 + route_id) AS route_id, min(score) AS risk_score,
+    """SELECT request_id // 10 AS shipment_id, arg_min(route_id, score * 1e6 + route_id) AS route_id, min(score) AS risk_score,
        count(*) AS n_passing FROM decisions WHERE NOT blocked AND score < 0.90 GROUP BY 1""",
 )
 def _(v: Views):
-    candidates = decisions(v).withColumn("shipment_id", F.col("request_id") % 400)
+    candidates = decisions(v).withColumn("shipment_id", F.floor(F.col("request_id") / 10))
     return G.choose_route(candidates)
