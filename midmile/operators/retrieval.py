@@ -1,9 +1,8 @@
 """Evidence for many queries at once: vector and keyword ranking, fusion, prompts, chunks.
 
-Vector scoring multiplies Arrow batches of chunks with the query matrix and keeps the
-best ``k`` per query of every batch, so only those rows are ever shuffled. A query table
-of checked size travels with the task; a larger one is cut into blocks that meet slices
-of the chunks.
+Vector scoring multiplies Arrow batches of chunks with a block of queries and keeps the
+best ``k`` per query of every task, so only those rows are ever shuffled. Queries travel
+in blocks of bounded bytes; chunks stay where they are.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from midmile.runtime import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no installed copy of this package
 
-QUERY_BLOCK = 4096  # queries that travel with a task
-CHUNK_SLICE = 20_000  # chunks that meet a block of queries when there are more
+QUERY_BYTES = 32 << 20  # query vectors that travel with a task at a time
+TILE_BYTES = 32 << 20  # scores that a task holds at a time
 DECIMALS = 9  # scores are ranked after rounding, so equal vectors tie exactly
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -41,29 +40,42 @@ def _cosine(chunks: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 
 def _negative_l2(chunks: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    return np.stack([-np.sqrt(((chunks - q) ** 2).sum(axis=1)) for q in queries], axis=1)
-
-
-def _product(chunks: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    return chunks @ queries.T
-
-
-def _best(pdf: pd.DataFrame, query_ids: list, queries: np.ndarray, k: int, score: Scorer) -> pd.DataFrame:
-    """The ``k`` best chunks of one batch for every query, ties to the smaller id."""
-    if pdf.empty or not query_ids:
-        return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-    ids = pdf["chunk_id"].to_numpy()
-    ids = ids.astype(str) if ids.dtype == object else ids
-    scores = np.round(score(np.stack(pdf["vector"].to_numpy()).astype("float64"), queries), DECIMALS)
-    rows = []
-    for j, query_id in enumerate(query_ids):
-        column = scores[:, j]
-        keep = np.arange(len(column))
-        if len(column) > k:
-            keep = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k])
-        keep = keep[np.lexsort((ids[keep], -column[keep]))[:k]]
-        rows.append(pd.DataFrame({"query_id": query_id, "chunk_id": ids[keep], "score": column[keep]}))
-    return pd.concat(rows, ignore_index=True)
+    """From the differences themselves, as the product form loses the last digits."""
+    out = np.empty((len(chunks), len(queries)))
+    step = max(1, TILE_BYTES // (8 * max(1, chunks.size)))
+    for k in range(0, len(queries), step):
+        apart = chunks[:, None, :] - queries[None, k : k + step, :]
+        out[:, k : k + step] = -np.sqrt(np.einsum("cqd,cqd->cq", apart, apart))
+    return out
+
+
+class _Best:
+    """The ``k`` best chunks of every query so far, ties to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.query, self.ids, self.score = k, np.empty(0, np.int64), None, np.empty(0)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, above: float = -np.inf) -> None:
+        """Scores of a tile, a row for each id; those not greater than ``above`` are no hits."""
+        if not scores.size:
+            return
+        ids, scores = ids.astype(str) if ids.dtype == object else ids, np.round(scores, DECIMALS)
+        scores[np.isnan(scores)] = -np.inf  # vectors that are not finite are no hits
+        keep = scores > above
+        if len(scores) > self.k:
+            keep &= scores >= np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
+        row, query = np.nonzero(keep)
+        ids = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
+        query = np.concatenate([self.query, query])
+        score = np.concatenate([self.score, scores[keep]])
+        order = np.lexsort((ids, -score, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order = order[place < self.k]
+        self.query, self.ids, self.score = query[order], ids[order], score[order]
+
+    def rows(self, query_ids: np.ndarray) -> pd.DataFrame:
+        ids = [] if self.ids is None else self.ids
+        return pd.DataFrame({"query_id": np.asarray(query_ids)[self.query], "chunk_id": ids, "score": self.score})
 
 
 def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
@@ -86,56 +98,64 @@ def _each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def _score_topk(queries: DataFrame, chunks: DataFrame, k: int, score: Scorer, block: int, slice_rows: int) -> DataFrame:
-    """``queries(query_id, vector)`` against ``chunks(chunk_id, vector)``: k best per query."""
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype("float64")
+
+
+def _score_block(asked: pd.DataFrame, chunks: DataFrame, schema: T.StructType, k: int, score: Scorer) -> DataFrame:
+    """One block of queries against all chunks, which stay where they are."""
+    ids, matrix = asked["query_id"].to_numpy(), _matrix(asked["vector"])
+    tile = max(1, TILE_BYTES // (8 * len(ids)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(k)
+        for pdf in batches:
+            for at in range(0, len(pdf), tile):
+                part = pdf.iloc[at : at + tile]
+                best.add(part["chunk_id"].to_numpy(), score(_matrix(part["vector"]), matrix))
+        yield best.rows(ids)
+
+    return chunks.mapInPandas(run, schema)
+
+
+def _score_topk(queries: DataFrame, chunks: DataFrame, k: int, score: Scorer, query_bytes: int) -> DataFrame:
+    """``queries(query_id, vector)`` against ``chunks(chunk_id, vector)``: k best per query and task.
+
+    Queries go out in blocks of ``query_bytes``, one after the other; the hits of a block are a
+    staged table, so the driver holds one block at a time. Chunks are never shuffled.
+    """
     schema = _hit_schema(queries, chunks)
-    head = queries.limit(block + 1).toPandas()
-    if len(head) <= block:
-        ids = list(head["query_id"])
-        matrix = np.stack(head["vector"].to_numpy()).astype("float64") if len(head) else np.zeros((0, 1))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield _best(pdf, ids, matrix, k, score)
-
-        found = chunks.mapInPandas(run, schema)
-    else:
-        n_blocks = -(-queries.count() // block)
-        n_slices = max(1, -(-chunks.count() // slice_rows))
-        q = queries.withColumn("_block", _home("query_id", n_blocks)).withColumn("_slice", _each(n_slices))
-        c = chunks.withColumn("_slice", _home("chunk_id", n_slices)).withColumn("_block", _each(n_blocks))
-
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if right.empty:
-                return _best(right, [], np.zeros((0, 1)), k, score)
-            matrix = np.stack(right["vector"].to_numpy()).astype("float64")
-            return _best(left, list(right["query_id"]), matrix, k, score)
-
-        pair = ["_block", "_slice"]
-        found = c.groupBy(*pair).cogroup(q.groupBy(*pair)).applyInPandas(meet, schema)
-    return found
-
-
-def _vector_topk(queries, chunks, k, score, block, slice_rows, ascending=False) -> DataFrame:
+    asked = stage(queries.withColumn("_at", F.monotonically_increasing_id()), "queries")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    n_blocks = max(1, -(-n * 8 * width // query_bytes))
+    asked = asked.withColumn("_block", _home("_at", n_blocks))
+    found = []
+    for block in range(n_blocks):
+        part = asked.where(F.col("_block") == block).select("query_id", "vector").toArrow().to_pandas()
+        if len(part):
+            found.append(stage(_score_block(part, chunks, schema, k, score), "block-hits"))
+    return reduce(DataFrame.unionByName, found) if found else chunks.sparkSession.createDataFrame([], schema)
+
+
+def _vector_topk(queries: DataFrame, chunks: DataFrame, k: int, score: Scorer, query_bytes: int) -> DataFrame:
     has = F.col("embedding").isNotNull()
     q = queries.where(has).select("query_id", F.col("embedding").alias("vector"))
     c = chunks.where(has).select("chunk_id", F.col("embedding").alias("vector"))
-    found = _score_topk(q, c, k, score, block, slice_rows)
-    return top_per_group(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return rank_hits(_score_topk(q, c, k, score, query_bytes), k)
 
 
 def has_embedding(df: DataFrame) -> DataFrame:
     return df.where(F.col("embedding").isNotNull())
 
 
-def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, block: int = QUERY_BLOCK, slice_rows: int = CHUNK_SLICE) -> DataFrame:
+def cosine_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``k`` chunks of greatest cosine per query."""
-    return _vector_topk(queries, chunks, k, _cosine, block, slice_rows)
+    return _vector_topk(queries, chunks, k, _cosine, query_bytes)
 
 
-def l2_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, block: int = QUERY_BLOCK, slice_rows: int = CHUNK_SLICE) -> DataFrame:
+def l2_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``query_id, chunk_id, distance, rank``: the ``k`` nearest chunks per query."""
-    near = _vector_topk(queries, chunks, k, _negative_l2, block, slice_rows)
+    near = _vector_topk(queries, chunks, k, _negative_l2, query_bytes)
     return near.select("query_id", "chunk_id", (-F.col("score")).alias("distance"), "rank")
 
 
@@ -180,11 +200,10 @@ def keyword_fallback(
     """For queries without a hit: the first ``k`` documents that contain any keyword.
 
     ``docs(chunk_id, record_type, text_content)`` in order of type and id, score 0. A
-    keyword has no blank, so it lies within one word of a text. Keywords are matched
-    against the distinct words, found through shared four-letter pieces; a second pass
-    over the texts keeps, for each matched word, its first ``k`` documents. The first
-    ``k`` of a union are among the first ``k`` of its parts, so nothing is lost and no
-    (query, document) table arises.
+    keyword has no blank, so it lies within one word of a text. One pass over the texts
+    keeps the first ``k`` documents of every word; the words found there are matched with
+    the keywords through shared four-letter pieces. The first ``k`` of a union are among
+    the first ``k`` of its parts, so nothing is lost and no (query, document) table arises.
     """
     order = [F.asc("record_type"), F.asc("chunk_id")]
     open_queries = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
@@ -193,25 +212,20 @@ def keyword_fallback(
     asked = stage(asked.withColumn("keyword", F.coalesce("keyword", F.lit(""))), "query-keywords")
 
     piece = min_len
+    long_enough = F.filter(F.split(F.lower("text_content"), r"\s+"), lambda w: F.length(w) >= piece)
+    spread = docs.select("chunk_id", "record_type", F.explode(F.array_distinct(long_enough)).alias("word"))
+    postings = stage(top_per_group(spread, ["word"], order, k, "_r").drop("_r"), "word-postings")
     pieces = F.expr(f"transform(sequence(1, length(word) - {piece - 1}), i -> substr(word, i, {piece}))")
-    word = F.explode(F.array_distinct(F.split(F.lower("text_content"), r"\s+"))).alias("word")
-    spread = docs.select("chunk_id", "record_type", word)
-    vocabulary = (
-        spread.select("word").where(F.length("word") >= piece).distinct()
-        .select("word", F.explode(F.array_distinct(pieces)).alias("_piece"))
-    )
+    vocabulary = postings.select("word").distinct().select("word", F.explode(F.array_distinct(pieces)).alias("_piece"))
     sought = asked.select("keyword").distinct().where("keyword <> ''").withColumn("_piece", F.substring("keyword", 1, piece))
     sought = stage(sought, "keywords")
     shared = stage(vocabulary.join(sought.select("_piece").distinct(), "_piece", "left_semi"), "shared-pieces")
-    pairs = balanced_join(sought, shared, "_piece").where(F.contains("word", "keyword"))
-    matched = stage(pairs.select("keyword", "word"), "keyword-words")
-    postings = spread.join(matched.select("word").distinct(), "word", "left_semi")
-    first = top_per_group(postings, ["word"], order, k, "_r").drop("_r")
-    per_word = matched.join(first, "word").select("keyword", "record_type", "chunk_id").distinct()
+    matched = balanced_join(sought, shared, "_piece").where(F.contains("word", "keyword")).select("keyword", "word")
+    per_word = matched.join(postings, "word").select("keyword", "record_type", "chunk_id").distinct()
     anything = docs.select("record_type", "chunk_id").orderBy(*order).limit(k)
     per_keyword = top_per_group(per_word, ["keyword"], order, k, "_r").drop("_r")
-    per_keyword = per_keyword.unionByName(anything.withColumn("keyword", F.lit("")))
-    found = asked.join(per_keyword, "keyword").select("query_id", "record_type", "chunk_id").distinct()
+    per_keyword = stage(per_keyword.unionByName(anything.withColumn("keyword", F.lit(""))), "keyword-postings")
+    found = balanced_join(asked, per_keyword, "keyword").select("query_id", "record_type", "chunk_id").distinct()
     return top_per_group(found, ["query_id"], order, k).withColumn("score", F.lit(0.0))
 
 
@@ -223,26 +237,24 @@ def _bm25_scores(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
     """Scores of one slice of documents for one block of queries, the ``k`` best per query."""
 
     def score(terms: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if terms.empty or asked.empty:
-            return _best(terms, [], np.zeros((0, 1)), k, _product)
+        best = _Best(k)
         q_code, q_ids = pd.factorize(asked["query_id"])
         w_code, words = pd.factorize(asked["word"])
-        weights = np.zeros((len(q_ids), len(words)))
-        weights[q_code, w_code] = 1.0
+        weights = np.zeros((len(words), len(q_ids)))
+        weights[w_code, q_code] = 1.0
         at = pd.Index(words).get_indexer(terms["word"])
         terms, at = terms[at >= 0], at[at >= 0]
         d_code, d_ids = pd.factorize(terms["chunk_id"], sort=True)
         order = np.argsort(d_code, kind="stable")
         d_code, at, value = d_code[order], at[order], terms["w"].to_numpy()[order]
-        found = []
-        for first in range(0, len(d_ids), 256):  # bounds the dense rows held at a time
-            lo, hi = np.searchsorted(d_code, [first, first + 256])
-            ids = np.asarray(d_ids[first : first + 256])
+        tile = max(1, TILE_BYTES // (8 * max(1, len(words))))
+        for first in range(0, len(d_ids), tile):  # bounds the dense rows held at a time
+            lo, hi = np.searchsorted(d_code, [first, first + tile])
+            ids = np.asarray(d_ids[first : first + tile])
             dense = np.zeros((len(ids), len(words)))
             dense[d_code[lo:hi] - first, at[lo:hi]] = value[lo:hi]
-            rows = _best(pd.DataFrame({"chunk_id": ids, "vector": list(dense)}), list(q_ids), weights, k, _product)
-            found.append(rows[rows["score"] > 0])
-        return pd.concat(found, ignore_index=True) if found else _best(terms, [], weights, k, _product)
+            best.add(ids, dense @ weights, above=0)
+        return best.rows(q_ids)
 
     return score
 

@@ -14,14 +14,15 @@ def vectors(spark, n, dim, seed, key):
     return rows, spark.createDataFrame(rows, f"{key} int, embedding array<float>")
 
 
-@pytest.mark.parametrize("block, slice_rows", [(4096, 20_000), (3, 17)])
+@pytest.mark.parametrize("query_bytes, tile_bytes", [(32 << 20, 32 << 20), (150, 300)])
 @pytest.mark.parametrize("kind", ["cosine", "l2"])
-def test_vector_topk_equals_brute_force(spark, block, slice_rows, kind):
+def test_vector_topk_equals_brute_force(spark, monkeypatch, query_bytes, tile_bytes, kind):
+    monkeypatch.setattr(R, "TILE_BYTES", tile_bytes)
     qs, queries = vectors(spark, 7, 8, 1, "query_id")
     cs, chunks = vectors(spark, 100, 8, 2, "chunk_id")
     copies = [(1000 + i, cs[5][1]) for i in range(30)]  # equal vectors: ties go to the smaller id
     chunks = chunks.unionByName(spark.createDataFrame(copies + [(5000, None)], chunks.schema)).repartition(4)
-    found = (R.cosine_topk if kind == "cosine" else R.l2_topk)(queries, chunks, 5, block, slice_rows)
+    found = (R.cosine_topk if kind == "cosine" else R.l2_topk)(queries, chunks, 5, query_bytes)
     got = {}
     for r in found.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.chunk_id)
@@ -34,11 +35,28 @@ def test_vector_topk_equals_brute_force(spark, block, slice_rows, kind):
         assert got[q] == [c[0] for c in sorted(cs + copies, key=key)[:5]]
 
 
-def test_small_query_side_is_not_shuffled(spark):
-    _, queries = vectors(spark, 3, 4, 1, "query_id")
+def test_chunks_are_not_shuffled(spark, monkeypatch):
+    _, queries = vectors(spark, 9, 4, 1, "query_id")
     _, chunks = vectors(spark, 20, 4, 2, "chunk_id")
-    plan = R.cosine_topk(queries, chunks)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" in plan and "Join" not in plan and "WindowGroupLimit" in plan
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, staged = [], R.stage
+
+    def seen(df, name):
+        if name == "block-hits":
+            plans.append(plan_of(df))
+        return staged(df, name)
+
+    monkeypatch.setattr(R, "stage", seen)
+    last = plan_of(R.cosine_topk(queries, chunks, query_bytes=64))
+    assert len(plans) > 1 and all("MapInPandas" in p and "Exchange" not in p and "Join" not in p for p in plans)
+    assert "WindowGroupLimit" in last and "Join" not in last
+
+
+def test_vectors_that_are_not_finite_are_no_hits(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    chunks = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [1.0, 1.0])], "chunk_id int, embedding array<double>").coalesce(1)
+    assert [r.chunk_id for r in R.cosine_topk(queries, chunks, 1).collect()] == [2]
+    assert R.cosine_topk(queries.where("false"), chunks).count() == 0
 
 
 def texts(n, seed):
