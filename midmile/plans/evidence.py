@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from midmile.operators import analytics as A
-from midmile.operators import graph, metrics
+from midmile.operators import graph, metrics, spatial
 from midmile.operators import retrieval as R
 from midmile.operators import silver as S
+from midmile.plans.oracle import near_route
 from midmile.plans.registry import register
 from midmile.plans.views import Views
+from midmile.runtime import stage
 
 BASE = "You are a freight routing expert."
 
@@ -163,26 +165,6 @@ def _(v: Views):
     return _bm25(v).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-_MERGED = """SELECT query_id, chunk_id, min(rank) FILTER (WHERE l = 'dense') AS rank_dense, min(rank) FILTER (WHERE l = 'near') AS rank_near FROM (
-    SELECT query_id, chunk_id, rank, 'dense' AS l FROM cosine_hits UNION ALL SELECT query_id, chunk_id, rank, 'near' FROM l2_hits) u GROUP BY 1, 2"""
-
-
-@register("j8_merge_rank_lists", _MERGED)
-def _(v: Views):
-    return R.merge_rank_lists({"dense": _cosine(v), "near": R.l2_topk(_queries(v), _chunks(v))})
-
-
-@register(
-    "r10_rrf",
-    f"""SELECT query_id, chunk_id, round(score, 10) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (
-        SELECT query_id, chunk_id, round(coalesce(0.4e0 / (60 + rank_dense), 0) + coalesce(0.2e0 / (60 + rank_near), 0), 12) AS score FROM ({_MERGED}) m) s) r WHERE rank <= 5""",
-)
-def _(v: Views):
-    lists = {"dense": _cosine(v), "near": R.l2_topk(_queries(v), _chunks(v))}
-    fused = R.rrf(lists, {"dense": 0.4, "near": 0.2})
-    return fused.withColumn("score", F.round("score", 10))
-
-
 @register(
     "r11_token_chunks",
     r"""SELECT doc_id, chunk_no, len(part) AS n_tokens, md5(array_to_string(part, ' ')) AS digest FROM (
@@ -197,25 +179,48 @@ def _(v: Views):
 
 def _graph(v: Views):
     ops = S.union_records(v.ops_parts)
-    return graph.build_graph(ops, A.heatmap_by_city(A.risk_heatmap(v.accidents)), v.bridges)
-
-
+    routes = spatial.with_route_points(v.routes)
+    cities = stage(A.risk_score(A.heatmap_by_city(A.risk_heatmap(v.accidents))), "city-scores")
+    places = v.accidents.select("state", "city", "start_lat", "start_lng").distinct()
+    places = places.withColumn("place", F.struct("state", "city", "start_lat", "start_lng"))
+    passed = spatial.corridor_join(routes, places, 5000.0, point_id="place", lat="start_lat", lon="start_lng")
+    passed = stage(passed.select("route_id", "state", "city").distinct(), "route-cities")
+    alerted = S.active_alerts(S.weather_alerts(v.weather)).select("station").distinct()
+    near = spatial.corridor_join(routes, v.stations, 100_000.0, point_id="station").join(alerted, "station", "left_semi")
+    bridges = spatial.corridor_join(routes, v.bridges, 500.0)
+    return graph.build_graph(ops, cities, v.bridges, v.routes, v.stations, bridges, passed, near)
+
+
+_SCORED = """SELECT state, city, 0.5e0 * (incident_count - min(incident_count) OVER ()) / (max(incident_count) OVER () - min(incident_count) OVER ())
+    + 0.5e0 * (avg_severity - min(avg_severity) OVER ()) / (max(avg_severity) OVER () - min(avg_severity) OVER ()) AS score FROM heat_city"""
+_PASSED = f"SELECT DISTINCT route_id, state, city FROM ({near_route('accidents', 'start_lat', 'start_lng', 5000.0)}) pa"
 _NODES = " UNION ".join(
     [f"SELECT '{k}:' || {k}_id AS node_id, '{k}' AS node_type FROM ops_union WHERE {k}_id IS NOT NULL" for k in "load customer truck driver facility route".split()]
-    + ["SELECT 'city:' || state || '/' || city, 'city' FROM accidents", "SELECT 'state:' || state, 'state' FROM accidents", "SELECT 'bridge:' || bridge_id, 'bridge' FROM bridges"]
-)
+    + ["SELECT 'city:' || state || '/' || city, 'city' FROM accidents", "SELECT 'state:' || state, 'state' FROM accidents", "SELECT 'bridge:' || bridge_id, 'bridge' FROM bridges",
+       "SELECT 'route:' || route_id, 'route' FROM routes", "SELECT 'station:' || station, 'station' FROM stations"]
+)
+_NODE_SCORES = f"""SELECT id, max(score) AS score FROM (SELECT 'city:' || state || '/' || city AS id, score FROM ({_SCORED}) a UNION ALL SELECT 'state:' || state, score FROM ({_SCORED}) b
+    UNION ALL SELECT 'route:' || route_id, score FROM ({_PASSED}) p JOIN ({_SCORED}) c ON c.state = p.state AND c.city = p.city) s GROUP BY 1"""
+_OPS_EDGES = " UNION ".join(
+    f"SELECT '{a}:' || {a}_id AS src, '{b}:' || {b}_id AS dst, '{k}' AS kind FROM ops_union WHERE {a}_id IS NOT NULL AND {b}_id IS NOT NULL"
+    for a, b, k in [("customer", "load", "customer_has_load"), ("load", "truck", "load_on_truck"), ("load", "driver", "load_by_driver"),
+                    ("driver", "truck", "driver_assigned_to"), ("truck", "load", "truck_on_trip")]
+)
 _EDGES = " UNION ".join(
     [
-        f"SELECT '{a}:' || {a}_id AS src, '{b}:' || {b}_id AS dst, '{k}' AS kind FROM ops_union WHERE {a}_id IS NOT NULL AND {b}_id IS NOT NULL"
-        for a, b, k in [("customer", "load", "customer_has_load"), ("load", "truck", "load_on_truck"), ("load", "driver", "load_by_driver"), ("driver", "truck", "driver_assigned_to")]
+        _OPS_EDGES,
+        "SELECT 'state:' || state, 'city:' || state || '/' || city, 'state_has_city' FROM accidents",
+        f"SELECT 'route:' || route_id, 'city:' || state || '/' || city, 'route_passes_through' FROM ({_PASSED}) p",
+        "SELECT 'bridge:' || bridge_id, 'route:' || route_id, 'bridge_on_route' FROM hits",
+        f"""SELECT 'station:' || station, 'route:' || route_id, 'weather_affects' FROM ({near_route('stations', 'latitude', 'longitude', 100000.0)}) ns
+            WHERE station IN (SELECT station FROM alerts WHERE weather_alert <> 'Normal conditions')""",
     ]
-    + ["SELECT 'state:' || state, 'city:' || state || '/' || city, 'state_has_city' FROM accidents"]
 )
 
 
-@register("r12_graph_nodes", _NODES)
+@register("r12_graph_nodes", f"SELECT n.*, round(score, 8) AS risk_score FROM ({_NODES}) n LEFT JOIN ({_NODE_SCORES}) s ON s.id = node_id")
 def _(v: Views):
-    return _graph(v)[0]
+    return _graph(v)[0].withColumn("risk_score", F.round("risk_score", 8))
 
 
 @register("r12_graph_edges", _EDGES)
@@ -243,6 +248,91 @@ def _(v: Views):
     )
 
 
+def _truck(key: str):
+    """The record that a chunk describes: the truck of its number."""
+    return F.concat(F.lit("truck:"), F.col(key).cast("string"))
+
+
+def _seeds(v: Views):
+    """Trucks of the chunks most like each query."""
+    return stage(_cosine(v).select("query_id", _truck("chunk_id").alias("node_id")), "seeds")
+
+
+def _walk_from(v: Views, seeds):
+    """Three hops from all seeds that are nodes."""
+    nodes, edges = _graph(v)
+    known = nodes.where("node_type = 'truck'").select("node_id").join(seeds.select("node_id").distinct(), "node_id", "left_semi")
+    return graph.expand(known, edges)
+
+
+# An edge leads from any type of node; trucks reach loads, trucks and drivers only.
+_WALK = f"""WITH e AS (SELECT DISTINCT src, dst FROM ({_OPS_EDGES}) x),
+    h0 AS (SELECT DISTINCT 'truck:' || chunk_id AS seed, 'truck:' || chunk_id AS node, 'truck:' || chunk_id AS path FROM cosine_hits
+      WHERE 'truck:' || chunk_id IN (SELECT 'truck:' || truck_id FROM ops_union)),
+    h1 AS (SELECT seed, dst AS node, min(path || '>' || dst) AS path FROM h0 JOIN e ON e.src = node WHERE dst <> seed GROUP BY 1, 2),
+    h2 AS (SELECT h1.seed, dst AS node, min(h1.path || '>' || dst) AS path FROM h1 JOIN e ON e.src = node WHERE dst <> h1.seed
+      AND NOT EXISTS (SELECT 1 FROM h1 k WHERE k.seed = h1.seed AND k.node = e.dst) GROUP BY 1, 2),
+    h3 AS (SELECT h2.seed, dst AS node, min(h2.path || '>' || dst) AS path FROM h2 JOIN e ON e.src = node WHERE dst <> h2.seed
+      AND NOT EXISTS (SELECT 1 FROM h1 k WHERE k.seed = h2.seed AND k.node = e.dst)
+      AND NOT EXISTS (SELECT 1 FROM h2 k WHERE k.seed = h2.seed AND k.node = e.dst) GROUP BY 1, 2)
+    SELECT 0 AS hop, seed, node, path FROM h0 UNION ALL SELECT 1, seed, node, path FROM h1
+    UNION ALL SELECT 2, seed, node, path FROM h2 UNION ALL SELECT 3, seed, node, path FROM h3"""
+
+
+@register("r13_expand_similar", f"SELECT * FROM ({_WALK}) w")
+def _(v: Views):
+    return _walk_from(v, _seeds(v))
+
+
+_GRAPH_HITS = f"""SELECT * FROM (SELECT query_id, chunk_id, way.hop AS hop, way.path AS path,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY way.hop, chunk_id) AS INTEGER) AS rank FROM (
+      SELECT h.query_id, vec_id AS chunk_id, min(struct_pack(hop := w.hop, path := w.path)) AS way FROM cosine_hits h
+      JOIN ({_WALK}) w ON w.seed = 'truck:' || h.chunk_id JOIN embeddings c ON 'truck:' || vec_id = w.node WHERE w.hop > 0
+      AND NOT EXISTS (SELECT 1 FROM cosine_hits o WHERE o.query_id = h.query_id AND o.chunk_id = c.vec_id) GROUP BY 1, 2) b) r WHERE rank <= 5"""
+
+
+def _graph_hits(v: Views):
+    seeds = _seeds(v)
+    chunks = _chunks(v).select("chunk_id", _truck("chunk_id").alias("node_id"))
+    return graph.graph_hits(seeds, _walk_from(v, seeds), chunks)
+
+
+@register("r10_graph_hits", _GRAPH_HITS)
+def _(v: Views):
+    return _graph_hits(v)
+
+
+def _three_lists(v: Views):
+    """Dense, sparse and graph hits of every query; its words are those of the benchmark item of its number."""
+    asked = v.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    asked = asked.join(v.embeddings.select(F.col("label").alias("query_id")).distinct(), "query_id", "left_semi")
+    docs = v.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("text_content"))
+    return {"dense": _cosine(v), "sparse": R.bm25(asked, docs), "graph": _graph_hits(v)}
+
+
+WEIGHTS = {"dense": 0.4, "sparse": 0.2, "graph": 0.4}  # fixed values
+
+_MERGED = f"""SELECT query_id, chunk_id, min(rank) FILTER (WHERE l = 'dense') AS rank_dense, min(rank) FILTER (WHERE l = 'sparse') AS rank_sparse,
+    min(rank) FILTER (WHERE l = 'graph') AS rank_graph FROM (SELECT query_id, chunk_id, rank, 'dense' AS l FROM cosine_hits
+    UNION ALL SELECT query_id, chunk_id, rank, 'sparse' FROM bm_hits WHERE query_id IN (SELECT label FROM embeddings)
+    UNION ALL SELECT query_id, chunk_id, rank, 'graph' FROM ({_GRAPH_HITS}) g) u GROUP BY 1, 2"""
+
+
+@register("j8_merge_rank_lists", _MERGED)
+def _(v: Views):
+    return R.merge_rank_lists(_three_lists(v))
+
+
+@register(
+    "r10_rrf",
+    f"""SELECT query_id, chunk_id, round(score, 10) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (
+        SELECT query_id, chunk_id, round(coalesce(0.4e0 / (60 + rank_dense), 0) + coalesce(0.2e0 / (60 + rank_sparse), 0) + coalesce(0.4e0 / (60 + rank_graph), 0), 12) AS score
+        FROM ({_MERGED}) m) s) r WHERE rank <= 5""",
+)
+def _(v: Views):
+    return R.rrf(_three_lists(v), WEIGHTS).withColumn("score", F.round("score", 10))
+
+
 @register(
     "r14_majority_vote",
     """SELECT query_id, answer, n AS votes, n / CAST(total AS DOUBLE) AS confidence FROM (SELECT query_id, answer, count(*) AS n,

@@ -219,3 +219,35 @@ def test_bundle_lists_only_sources_with_rows(spark):
     bundle = R.evidence_bundle(heat, bridges, chunks)
     assert bundle.count() == 6
     assert R.bundle_sources(bundle).first().grounding_sources == "accident_risk,logistics_data"
+
+
+def test_graph_hits_leave_out_seeds_and_rank_by_hops(spark):
+    seeds = spark.createDataFrame([(1, "truck:1"), (1, "truck:2"), (2, "truck:9")], "query_id int, node_id string")
+    edges = spark.createDataFrame([("truck:1", "load:1"), ("load:1", "truck:2"), ("load:1", "truck:4"), ("truck:4", "truck:3")], "src string, dst string")
+    walk = K.expand(seeds.where("node_id <> 'truck:9'").select("node_id"), edges)
+    chunks = spark.createDataFrame([(i, f"truck:{i}") for i in range(1, 6)], "chunk_id int, node_id string")
+    got = [(r.query_id, r.chunk_id, r.hop, r.path, r["rank"]) for r in K.graph_hits(seeds, walk, chunks).orderBy("rank").collect()]
+    assert got == [(1, 4, 2, "truck:1>load:1>truck:4", 1), (1, 3, 3, "truck:1>load:1>truck:4>truck:3", 2)]
+
+
+def test_graph_has_every_kind_of_edge_and_scores(spark):
+    ops = spark.createDataFrame(
+        [("l1", "c1", "t1", "d1", None, None), ("l1", "c1", "t1", "d1", "f1", "r9"), (None, None, "t2", None, None, None)],
+        "load_id string, customer_id string, truck_id string, driver_id string, facility_id string, route_id string",
+    )
+    cities = spark.createDataFrame([("S", "A", 0.25), ("S", "B", 0.75), (None, "C", 0.5)], "state string, city string, risk_score double")
+    one = lambda row, schema: spark.createDataFrame([row], schema)
+    nodes, edges = K.build_graph(
+        ops, cities, one((5,), "bridge_id int"), one((7,), "route_id int"), one((3,), "station int"),
+        one((7, 5), "route_id int, bridge_id int"), one((7, "S", "A"), "route_id int, state string, city string"), one((7, 3), "route_id int, station int"),
+    )
+    got = sorted(tuple(r) for r in edges.collect())
+    assert got == sorted([
+        ("customer:c1", "load:l1", "customer_has_load"), ("load:l1", "truck:t1", "load_on_truck"), ("load:l1", "driver:d1", "load_by_driver"),
+        ("driver:d1", "truck:t1", "driver_assigned_to"), ("truck:t1", "load:l1", "truck_on_trip"), ("state:S", "city:S/A", "state_has_city"),
+        ("state:S", "city:S/B", "state_has_city"), ("route:7", "city:S/A", "route_passes_through"), ("bridge:5", "route:7", "bridge_on_route"),
+        ("station:3", "route:7", "weather_affects"),
+    ])
+    scores = {r.node_id: r.risk_score for r in nodes.collect()}
+    assert nodes.count() == len(scores) == 13
+    assert {k: v for k, v in scores.items() if v is not None} == {"state:S": 0.75, "city:S/A": 0.25, "city:S/B": 0.75, "route:7": 0.25}
