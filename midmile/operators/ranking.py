@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from midmile.runtime import stage
+from midmile.runtime import is_staged, stage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row position in its lower 33 bits
 
@@ -39,28 +38,20 @@ def top_per_group(
     return df.withColumn(rank, number(*group)).filter(F.col(rank) <= n)
 
 
-def _in_file_order(df: DataFrame) -> DataFrame:
-    """``df`` with rows in an order that a repeated task finds again.
-
-    Rows read from files have it. Rows from a shuffle arrive in any order and are staged.
-    """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return stage(df, "row-index-input") if re.search(r"(?<!Broadcast)Exchange", plan) else df
-
-
 def row_index(
     df: DataFrame, order: Sequence[Column], name: str = "row_index", group: str | None = None
 ) -> DataFrame:
     """0-based position of every row in the total order ``order``.
 
     With ``group`` the count restarts at every value of that column, which must have
-    few values (a record type, a source); its rows may be as uneven as they like. One range
+    few values (a record type, a source); its rows may be as uneven as they like. Rows that are
+    no staged table are staged, so that a repeated task finds them in the same order. One range
     shuffle sorts the rows, each partition numbers its own, and per-partition
     offsets (one row per partition) are added; no window ever holds a whole group.
     """
     lead = [F.col(group)] if group else []
     # equal rows may be many, so they need a tie that splits them; the same one after a retry
-    keyed = _in_file_order(df).withColumn("_tie", F.monotonically_increasing_id())
+    keyed = (df if is_staged(df) else stage(df, "row-index-input")).withColumn("_tie", F.monotonically_increasing_id())
     placed = (
         keyed.repartitionByRange(*lead, *order, F.col("_tie"))
         .sortWithinPartitions(*lead, *order, F.col("_tie"))

@@ -282,7 +282,7 @@ def bm25(
     counted = tallies.where("word <> ''")
     corpus = tallies.where("word = ''").agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("mean_len"))).scalar()
     df = counted.groupBy("word").agg(F.count("*").alias("df"))
-    idf = df.select("word", F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = stage(df.select("word", F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "word-weights")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / corpus["mean_len"]))
     terms = counted.join(idf, "word").select("chunk_id", "word", (tf * F.col("idf")).alias("w"))
 

@@ -366,7 +366,17 @@ def _(v: Views):
     return metrics.retrieval_metrics(_cosine(v), truth).withColumn("ndcg_at_k", F.round("ndcg_at_k", 9))
 
 
-@register("e3_rouge_l")
+_LCS = r"""WITH RECURSIVE ab AS (SELECT row_number() OVER () AS id, conv_id, turn, [t FOR t IN regexp_split_to_array(lower(instruction), '\s+') IF t <> ''] AS a,
+      [t FOR t IN regexp_split_to_array(lower(output), '\s+') IF t <> ''] AS b FROM pairs_text),
+    fold AS (SELECT id, a, b, 0 AS k, [0 FOR i IN a] AS best FROM ab WHERE len(a) > 0
+      UNION ALL SELECT id, a, b, k + 1, [list_max(met[1:i]) FOR i IN range(1, len(a) + 1)] FROM (
+        SELECT id, a, b, k, [greatest(best[j], CASE WHEN a[j] = b[k + 1] THEN coalesce(best[j - 1], 0) + 1 ELSE 0 END) FOR j IN range(1, len(a) + 1)] AS met
+        FROM fold WHERE k < len(b)) m)
+    SELECT conv_id, turn, CASE WHEN len(ab.a) = 0 OR len(ab.b) = 0 THEN 0 ELSE 2.0e0 * best[-1] / (len(ab.a) + len(ab.b)) END AS f1
+    FROM ab LEFT JOIN fold ON fold.id = ab.id AND k = len(ab.b)"""
+
+
+@register("e3_rouge_l", f"SELECT conv_id, turn, round(f1, 9) AS rouge_l FROM ({_LCS}) l")
 def _(v: Views):
     pairs = R.training_pairs(v.conversations)
     scored = metrics.rouge_l(pairs, "output", "instruction")

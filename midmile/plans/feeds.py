@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from midmile.operators import analytics as A
+from midmile.plans import medallion
 from midmile.plans.registry import register
 from midmile.plans.views import Views
 from midmile.runtime import fresh_path
@@ -55,6 +56,65 @@ def _(v: Views):
     return _per_type(v.spark.read.schema(EVENT).parquet(dst))
 
 
+def _fed(v: Views, dataset: str, rows, key: str):
+    """The rows as files that arrive in two parts, one with a broken line, and a restart without news; the loaded table."""
+    src, dst, bad_dst, ckpt = (fresh_path(v.spark, f"{dataset}-{n}".replace(".", "-")) for n in ("src", "dst", "bad", "ckpt"))
+    text = rows.select([F.col(f"`{c}`").cast("string") for c in rows.columns])
+    for part in (0, 1, None):
+        if part is not None:
+            text.where(F.pmod(F.col(f"`{key}`").cast("long"), F.lit(2)) == part).write.mode("append").option("header", True).csv(src)
+        if part == 1:
+            broken = v.spark.createDataFrame([(",".join(rows.columns),), ("only one cell",)], "value string").coalesce(1)
+            broken.write.mode("append").text(src)
+        medallion.feed(v.spark, dataset, src, rows.columns, dst, bad_dst, ckpt)
+    n_bad = v.spark.read.schema(f"{feeds.BAD_ROW} string").parquet(bad_dst).agg(F.count("*")).scalar()
+    return v.spark.read.parquet(dst).withColumn("broken", n_bad)
+
+
+@register(
+    "x1_feed_accidents",
+    """SELECT CAST(accident_id AS VARCHAR) AS accident_id, start_time, state, city, severity, start_lat, start_lng, CAST(1 AS BIGINT) AS broken FROM accidents""",
+)
+def _(v: Views):
+    names = {"Severity": "severity", "ID": "accident_id", "Start_Time": "start_time", "City": "city", "State": "state", "Start_Lat": "start_lat", "Start_Lng": "start_lng"}
+    rows = v.accidents.select([F.col(c).alias(n) for n, c in names.items()])
+    loaded = _fed(v, "accidents", rows, "ID")
+    return loaded.select("accident_id", "start_time", "state", "city", "severity", "start_lat", "start_lng", "broken")
+
+
+@register(
+    "x1_feed_bridges",
+    """SELECT CAST(bridge_id AS VARCHAR) AS bridge_id, bridge_name, state_code, condition, clearance_mt, load_limit_tons, latitude, longitude,
+       CAST(1 AS BIGINT) AS broken FROM bridges""",
+)
+def _(v: Views):
+    names = {source: c for source, c in medallion.BRIDGE_COLUMNS.items()}
+    loaded = _fed(v, "bridges", v.bridges.select([F.col(c).alias(n) for n, c in names.items()]), "STRUCTURE_NUMBER_008")
+    return loaded.select(*names.values(), "broken")
+
+
+@register(
+    "x1_feed_orders",
+    """SELECT CAST(order_id AS VARCHAR) AS order_id, order_date, shipping_mode, days_for_shipping_real, days_for_shipment_scheduled, late_delivery_risk,
+       CAST(1 AS BIGINT) AS broken FROM shipments""",
+)
+def _(v: Views):
+    names = {
+        "Shipping Mode": "shipping_mode", "Days for shipping (real)": "days_for_shipping_real", "Days for shipment (scheduled)": "days_for_shipment_scheduled",
+        "Late_delivery_risk": "late_delivery_risk", "Order Id": "order_id", "order date (DateOrders)": "order_date",
+    }
+    loaded = _fed(v, "orders", v.shipments.select([F.col(c).alias(n) for n, c in names.items()]), "Order Id")
+    return loaded.select(*names.values(), "broken")
+
+
+_LOADED = "record_type, load_id, customer_id, origin_city, destination_city, distance_miles, revenue, cost, delivery_status, booking_type, event_date"
+
+
+@register("x1_feed_operations", f"SELECT {_LOADED}, CAST(1 AS BIGINT) AS broken FROM ops_union WHERE record_type = 'load'")
+def _(v: Views):
+    return _fed(v, "loads.csv", v.src_loads, "load_id").select(*_LOADED.split(", "), "broken")
+
+
 @register(
     "x2_stream_quarantine",
     """SELECT count(*) FILTER (WHERE event_id % 10 <> 3) AS good, count(*) FILTER (WHERE event_id % 10 = 3) AS bad, count(*) AS total FROM events""",

@@ -18,6 +18,7 @@ from midmile.operators import quality as Q
 from midmile.operators import silver as S
 from midmile.operators.retrieval import embed_text
 from midmile.sources import readers, tables, writers
+from midmile.streaming import feeds
 
 # Cleaned header name -> bronze column.
 ACCIDENT_COLUMNS = {
@@ -54,6 +55,28 @@ def _bronze(raw: DataFrame, mapping: Mapping[str, str], table: str) -> DataFrame
     return C.conform(C.map_columns(C.normalize_upper(raw), mapping), tables.BRONZE[table])
 
 
+def _orders(raw: DataFrame) -> DataFrame:
+    named = C.map_columns(C.normalize_upper(raw), ORDER_COLUMNS)
+    days = {c: ORDER_DAY_FORMATS for c in ("order_date", "shipping_date", "delivery_date") if c in named.columns}
+    return C.conform(C.parse_dates(named, days), tables.BRONZE["raw_logistics"])
+
+
+def feed(spark: SparkSession, dataset: str, src: str, header: Sequence[str], dst: str, bad_dst: str, ckpt: str) -> None:
+    """Load the files of a dataset that arrived in ``src`` since the last call, each once.
+
+    ``dataset`` is ``accidents``, ``bridges``, ``orders`` or the name of an operation file. Files have
+    the columns ``header``, which are mapped as in the batch loads; another header is an error. Lines
+    with too few or too many cells go to ``bad_dst``, cells that do not fit become NULL.
+    """
+    clean = {
+        "accidents": lambda raw: _bronze(raw, ACCIDENT_COLUMNS, "traffic_incidents"),
+        "bridges": lambda raw: _bronze(raw, BRIDGE_COLUMNS, "bridge_inventory"),
+        "orders": _orders,
+        **{file: lambda raw, kind=kind: S.unify(raw, kind) for file, kind in S.RECORD_FILES.items()},
+    }[dataset]
+    feeds.stream_with_quarantine(spark, src, readers.all_text(header), dst, bad_dst, ckpt, clean=clean).awaitTermination()
+
+
 def ingest_accidents(spark: SparkSession, path: str, bronze: str) -> None:
     rows = _bronze(readers.scan_by_header(spark, path), ACCIDENT_COLUMNS, "traffic_incidents")
     writers.write_replace(rows, f"{bronze}.traffic_incidents")
@@ -65,10 +88,7 @@ def ingest_bridges(spark: SparkSession, path: str, bronze: str) -> None:
 
 
 def ingest_orders(spark: SparkSession, path: str, bronze: str, encoding: str = "ISO-8859-1") -> None:
-    raw = C.map_columns(C.normalize_upper(readers.scan_by_header(spark, path, encoding)), ORDER_COLUMNS)
-    days = {c: ORDER_DAY_FORMATS for c in ("order_date", "shipping_date", "delivery_date") if c in raw.columns}
-    rows = C.conform(C.parse_dates(raw, days), tables.BRONZE["raw_logistics"])
-    writers.write_replace(rows, f"{bronze}.raw_logistics")
+    writers.write_replace(_orders(readers.scan_by_header(spark, path, encoding)), f"{bronze}.raw_logistics")
 
 
 def ingest_weather(spark: SparkSession, path: str, bronze: str) -> None:

@@ -74,14 +74,13 @@ def _(v: Views):
 
 @register(
     "a5_failing_bridges",
-    f"""SELECT {PROFILE}, count(*) AS n_failing, least(count(*), 50) AS n_listed, CAST(min(bridge_id) AS BIGINT) AS least_bridge
-        FROM ({_FAILED}) f GROUP BY 1, 2, 3""",
+    f"""SELECT {PROFILE}, count(*) AS n_failing, string_agg(CAST(bridge_id AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE rn <= 50) AS listed
+        FROM (SELECT *, row_number() OVER (PARTITION BY {PROFILE} ORDER BY weight_margin ASC NULLS LAST, bridge_id) AS rn FROM ({_FAILED}) f) r GROUP BY 1, 2, 3""",
 )
 def _(v: Views):
     listed = G.failing_bridges(_fails(v))
     return listed.select(
-        *G.PROFILE, "n_failing", F.size("bridges").cast("long").alias("n_listed"),
-        F.array_min(F.transform("bridges", lambda b: b["bridge_id"])).alias("least_bridge"),
+        *G.PROFILE, "n_failing", F.array_join(F.transform("bridges", lambda b: b["bridge_id"].cast("string")), ",").alias("listed"),
     )
 
 

@@ -14,6 +14,7 @@ from midmile.operators import ranking
 from midmile.operators import retrieval as R
 from midmile.operators import silver as S
 from midmile.operators import spatial
+from midmile.plans.oracle import PROFILE
 from midmile.plans.registry import register
 from midmile.plans.views import OPS_FILES, Views
 from midmile.runtime import fresh_path, stage
@@ -150,18 +151,18 @@ def _(v: Views):
 
 @register(
     "s13_append_log",
-    """SELECT is_grounded, count(*) AS records, count(*) AS ids, sum(CASE WHEN is_grounded THEN 2 ELSE 0 END) :: BIGINT AS sources,
-       sum(execution_time_ms) :: BIGINT AS ms, count(*) AS stamped FROM query_log GROUP BY 1""",
+    """SELECT CAST(user_id AS VARCHAR) AS user_id, query_text, 'done' AS response_text, CASE WHEN is_grounded THEN 'risk_heatmap,bridges' ELSE '' END AS sources,
+       execution_time_ms, is_grounded, true AS stamped, count(*) OVER () AS ids FROM query_log""",
 )
 def _(v: Views):
     table = f"{_database(v, 'gold')}.query_logs"
     sources = F.when(F.col("is_grounded"), '["risk_heatmap", "bridges"]').otherwise("[]")
     lines = v.query_log.withColumns({"response_text": F.lit("done"), "sources": sources})
     writers.append_log(lines, table)
-    return v.spark.table(table).groupBy("is_grounded").agg(
-        F.count("*").alias("records"), F.countDistinct("query_id").alias("ids"),
-        F.sum(F.size("grounding_sources")).alias("sources"), F.sum("execution_time_ms").alias("ms"),
-        F.count("created_at").alias("stamped"),
+    log = v.spark.table(table)
+    return log.select(
+        "user_id", "query_text", "response_text", F.array_join("grounding_sources", ",").alias("sources"), "execution_time_ms", "is_grounded",
+        F.col("created_at").isNotNull().alias("stamped"), log.agg(F.countDistinct("query_id")).scalar().alias("ids"),
     )
 
 
@@ -398,23 +399,23 @@ def _(v: Views):
     )
 
 
-_MET = "request_id, bridge_id, vehicle_weight_tons, vehicle_height_mt"
+_MET = f"{PROFILE}, bridge_id"
 
 
 def _met(v: Views):
-    """Requests with the bridges of their route (route lines meet bridges within 500 m)."""
+    """Distinct vehicles of every route with its bridges (route lines meet bridges within 500 m)."""
     from midmile.operators.gate import bridge_hits
 
     hits = stage(bridge_hits(spatial.with_route_points(v.routes), v.bridges, 500.0), "bridge-hits")
-    return ranking.balanced_join(hits, v.route_requests, "route_id")
+    return ranking.balanced_join(hits, v.route_requests.select(*PROFILE.split(", ")).distinct(), "route_id")
 
 
-@register("p19_weight_margin", f"SELECT {_MET}, weight_margin FROM met")
+@register("p19_weight_margin", f"SELECT DISTINCT {_MET}, weight_margin FROM met")
 def _(v: Views):
     return _met(v).select(*_MET.split(", "), C.weight_margin(F.col("load_limit_tons"), F.col("vehicle_weight_tons")).alias("weight_margin"))
 
 
-@register("p20_clearance_margin", f"SELECT {_MET}, clearance_margin FROM met")
+@register("p20_clearance_margin", f"SELECT DISTINCT {_MET}, clearance_margin FROM met")
 def _(v: Views):
     return _met(v).select(*_MET.split(", "), C.clearance_margin(F.col("clearance_mt"), F.col("vehicle_height_mt")).alias("clearance_margin"))
 
@@ -534,10 +535,10 @@ def _(v: Views):
     return A.completed_trips(v.trips).select("truck_id", "fuel_type", F.col("revenue").cast("double").alias("revenue"))
 
 
-@register("f10_violates", "SELECT request_id, bridge_id, fails FROM met")
+@register("f10_violates", f"SELECT DISTINCT {_MET}, fails FROM met")
 def _(v: Views):
     fails = C.violates(F.col("load_limit_tons"), F.col("vehicle_weight_tons"), F.col("clearance_mt"), F.col("vehicle_height_mt"))
-    return _met(v).select("request_id", "bridge_id", fails.alias("fails"))
+    return _met(v).select(*_MET.split(", "), fails.alias("fails"))
 
 
 @register(

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_staged: WeakSet[DataFrame] = WeakSet()
 
 
 def session(app: str = "midmile", cores: int | None = None, memory: str = "16g") -> SparkSession:
@@ -60,4 +62,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged.add(table)
+    return table
+
+
+def is_staged(df: DataFrame) -> bool:
+    """Whether ``df`` is a staged table itself: a repeated task reads its rows in the same order."""
+    return df in _staged

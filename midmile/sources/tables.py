@@ -93,13 +93,5 @@ def describe_columns(spark: SparkSession, database: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
 
 
-def describe_frame(df: DataFrame, table: str) -> DataFrame:
-    """The same rows for a DataFrame."""
-    rows = [(table, i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(
-        rows, "table_name string, position int, column_name string, data_type string"
-    )
-
-
 def with_stamp(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.current_timestamp())

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from midmile.functions import columns as C
 from midmile.operators import analytics as A
+from midmile.plans import medallion
 from midmile.runtime import fresh_path
 from midmile.sources import readers, tables, writers
 from midmile.sources.schema import columns
@@ -184,6 +185,32 @@ def test_fresh_heatmap_drops_only_rows_past_the_watermark(spark):
     assert last["2024-01-01 10:00:00"] == (2, 2.0) and last["2024-01-01 16:00:00"] == (2, 3.0)
 
 
+def test_compacted_heatmap_reads_the_same(spark):
+    src, dst, ckpt = (fresh_path(spark, f"compact-{n}") for n in ("src", "dst", "ckpt"))
+    marks = []
+    for n in range(1, 4):
+        arrive(spark, src, [(f"2024-01-01 10:0{n}:00", n)])
+        seen = heat_of(spark, src, dst, ckpt)
+        assert seen == {"2024-01-01 10:00:00": (n, (n + 1) / 2)}
+        for _ in range(2):  # the second time there is nothing new to fold
+            feeds.compact_heatmap(spark, dst)
+        marks.append(feeds._compacted(spark, dst))
+        assert heat_of(spark, src, dst, ckpt) == seen
+    assert marks == sorted(marks) and marks[-1] > 0
+
+
+def test_a_dataset_feed_maps_columns_and_keeps_broken_lines(spark):
+    src, dst, bad, ckpt = (fresh_path(spark, f"dataset-{n}") for n in ("src", "dst", "bad", "ckpt"))
+    header = ["Severity", "ID", "Start_Time", "City"]
+    drop(spark, src, "a.csv", "Severity,ID,Start_Time,City\n2,A-1,2023-02-08 05:46:00,Dayton\nbad,A-2,,\nalone\n")
+    medallion.feed(spark, "accidents", src, header, dst, bad, ckpt)
+    medallion.feed(spark, "accidents", src, header, dst, bad, ckpt)
+    rows = spark.read.parquet(dst).orderBy("accident_id").collect()
+    assert [(r.accident_id, r.severity, r.city, r.state) for r in rows] == [("A-1", 2, "Dayton", None), ("A-2", None, None, None)]
+    assert rows[0].start_time.hour == 5
+    assert [r[0] for r in spark.read.schema("_corrupt_record string").parquet(bad).collect()] == ["alone"]
+
+
 def test_patches_overlap(spark):
     df = spark.sql("select cast('2024-01-01 05:00:00' as timestamp) t, 2 v")
     got = sorted(str(r.patch_start) for r in feeds.patches(df, "t", F.col("v")).collect())
