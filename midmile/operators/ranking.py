@@ -39,19 +39,20 @@ def top_per_group(
 
 
 def row_index(
-    df: DataFrame, order: Sequence[Column], name: str = "row_index", group: str | None = None
+    df: DataFrame, order: Sequence[Column], name: str = "row_index", group: str | None = None, from_files: bool = False
 ) -> DataFrame:
     """0-based position of every row in the total order ``order``.
 
     With ``group`` the count restarts at every value of that column, which must have
-    few values (a record type, a source); its rows may be as uneven as they like. Rows that are
-    no staged table are staged, so that a repeated task finds them in the same order. One range
+    few values (a record type, a source); its rows may be as uneven as they like. Rows are
+    staged first, so that a repeated task finds them in the same order, unless they are a staged
+    table or the caller says that they come ``from_files`` without a shuffle. One range
     shuffle sorts the rows, each partition numbers its own, and per-partition
     offsets (one row per partition) are added; no window ever holds a whole group.
     """
     lead = [F.col(group)] if group else []
     # equal rows may be many, so they need a tie that splits them; the same one after a retry
-    keyed = (df if is_staged(df) else stage(df, "row-index-input")).withColumn("_tie", F.monotonically_increasing_id())
+    keyed = (df if from_files or is_staged(df) else stage(df, "row-index-input")).withColumn("_tie", F.monotonically_increasing_id())
     placed = (
         keyed.repartitionByRange(*lead, *order, F.col("_tie"))
         .sortWithinPartitions(*lead, *order, F.col("_tie"))

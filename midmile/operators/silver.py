@@ -181,11 +181,11 @@ def union_records(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def with_record_id(records: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """``record_type`` + ``_`` + 0-based position of the record within its type."""
+def with_record_id(records: DataFrame, order: Sequence[str] | None = None, from_files: bool = False) -> DataFrame:
+    """``record_type`` + ``_`` + 0-based position of the record within its type; ``from_files`` as in `row_index`."""
     order = order or [f.name for f in UNIFIED.fields if f.name not in ("record_id", "record_type")]
     keys = [F.col(c).asc_nulls_first() for c in order]
-    numbered = row_index(records, keys, "_i", group="record_type")
+    numbered = row_index(records, keys, "_i", "record_type", from_files)
     rid = F.concat_ws("_", "record_type", F.col("_i").cast("string"))
     return numbered.withColumn("record_id", rid).drop("_i").select(*records.columns)
 

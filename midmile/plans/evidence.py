@@ -182,7 +182,7 @@ def _graph(v: Views):
     routes = spatial.with_route_points(v.routes)
     cities = stage(A.risk_score(A.heatmap_by_city(A.risk_heatmap(v.accidents))), "city-scores")
     places = v.accidents.select("state", "city", "start_lat", "start_lng").distinct()
-    places = places.withColumn("place", F.struct("state", "city", "start_lat", "start_lng"))
+    places = stage(places.withColumn("place", F.struct("state", "city", "start_lat", "start_lng")), "places")
     passed = spatial.corridor_join(routes, places, 5000.0, point_id="place", lat="start_lat", lon="start_lng")
     passed = stage(passed.select("route_id", "state", "city").distinct(), "route-cities")
     alerted = S.active_alerts(S.weather_alerts(v.weather)).select("station").distinct()

@@ -110,7 +110,7 @@ def ingest_operations(spark: SparkSession, folder: str, bronze: str) -> None:
     ]
     if not parts:
         raise FileNotFoundError(f"no operation file in {folder}")
-    rows = C.with_loaded_at(S.with_record_id(S.union_records(parts)))
+    rows = C.with_loaded_at(S.with_record_id(S.union_records(parts), from_files=True))
     writers.write_replace(rows, f"{bronze}.logistics")
 
 

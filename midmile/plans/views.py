@@ -142,7 +142,7 @@ class Views:
     def ops_records(self) -> DataFrame:
         from midmile.operators.silver import union_records, with_record_id
 
-        return with_record_id(union_records(self.ops_parts))
+        return with_record_id(union_records(self.ops_parts), from_files=True)
 
 
 def oracle_views(sql: str, extra: dict[str, str]) -> str:
