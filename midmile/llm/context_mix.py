@@ -191,6 +191,7 @@ HELD = 2_000_000  # distinct windows or words that a task adds up
 KNOWN = 1_000_000  # distinct windows whose probability a task remembers
 LEARNED = 250_000  # distinct windows that a learning task has at least, if there are so many
 STEP = 1024  # windows in one online step
+LOOKED_UP = 16_384  # windows looked up in one go: fits the cache
 HEAD = 400_000  # frequent words that travel with every task; the others are joined
 CHUNK = 1 << 16  # slots in one row of the packed table
 _END_WORD = b"\n"  # the end token: no word has white space
@@ -482,4 +483,6 @@ def _runs(texts: list[bytes]) -> Iterator[list[tuple[int, tuple[bytes, bytes]]]]
 
 
 def _looked_up(model: Model, x: np.ndarray) -> np.ndarray:
-    return np.concatenate([model.log2_byte(x[k : k + 65_536]) for k in range(0, len(x), 16_384)])  # fits the cache
+    found = np.concatenate([model.log2_byte(x[k : k + LOOKED_UP]) for k in range(0, len(x), LOOKED_UP)])
+    assert len(found) == len(x)
+    return found

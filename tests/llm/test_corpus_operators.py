@@ -186,6 +186,19 @@ def test_nothing_to_learn_from(spark):
     assert context_mix.score(docs.limit(0), F.lit(False)).count() == 0
 
 
+def test_many_distinct_windows_like_text_by_text(spark, monkeypatch):
+    dice = np.random.default_rng(5)
+    texts = [bytes(dice.integers(97, 123, 30_000).astype(np.uint8)).decode() for _ in range(4)]
+    docs = spark.createDataFrame([(k, texts[k % 4]) for k in range(8)], "doc_id long, text string").coalesce(1)
+    models, made = [], context_mix._mapped
+    monkeypatch.setattr(context_mix, "_mapped", lambda seen, packed, weights: models.append((context_mix._unpacked(packed), weights, made(seen, packed, weights))) or models[0][2])
+    got = context_mix.score(docs, F.lit(False)).collect()
+    model = context_mix.Model(*models[0])
+    for r in got:
+        x = context_mix.windows(context_mix.pieces(texts[r.doc_id % 4].encode(), 10**6))
+        assert r.score == pytest.approx(sum(model.log2_byte(x[k : k + 5000]).sum() for k in range(0, len(x), 5000)) * math.log10(2), rel=1e-6)
+
+
 # --- the pipeline
 
 
