@@ -24,7 +24,7 @@ THRESHOLD = 0.98
 CELL_ROWS = 2000  # distinct vectors of a label for one pivot
 MOST_PIVOTS = 8000  # of all labels together: they travel with every task
 BLOCK = 1000  # rows of a side in one comparison
-_SLACK = 1e-9  # bounds are widened by more than rounding can take
+_SLACK = 1e-6  # distances are widened by more than rounding can take: the root of what a product of unit vectors is off by
 _GROUP = ["label", "dim"]
 
 
@@ -62,7 +62,13 @@ def _pivots(classes: DataFrame, cell_rows: int, most: int) -> dict[tuple, np.nda
     found: dict[tuple, list] = {}
     for row in chosen.orderBy(*_GROUP, "class_id").collect():  # a hash share that makes about ``most`` rows at most
         found.setdefault((row["label"], row["dim"]), []).append(np.array(row["embedding"]))
-    return {key: np.unique(unit(rows), axis=0) for key, rows in found.items() if len(rows) > 1}
+    return {key: _apart(unit(rows)) for key, rows in found.items() if len(rows) > 1}
+
+
+def _apart(pivots: np.ndarray) -> np.ndarray:
+    """One of the pivots that differ by rounding only, as multiples of one vector do."""
+    _, first = np.unique(pivots.round(7), axis=0, return_index=True)
+    return pivots[np.sort(first)]
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -111,8 +117,8 @@ def _placed(classes: DataFrame, pivots: dict, r: float) -> DataFrame:
                     nearest_d = d[np.arange(len(x)), own][:, None]
                     gap = _distances(p, p)[own]
                     # y in another cell lies beyond the bisector of both pivots, and within its cell's radius
-                    beyond = (d**2 - nearest_d**2) / np.maximum(2 * gap, 1e-300)
-                    near = (beyond <= r + _SLACK) & (d <= radii[label, dim][None, :] + r + _SLACK)
+                    # (not divided by the gap, which may be nothing but rounding)
+                    near = (d**2 - nearest_d**2 <= 2 * (gap + _SLACK) * (r + _SLACK)) & (d <= radii[label, dim][None, :] + r + _SLACK)
                     near[np.arange(len(x)), own] = True
                     rows, cells = np.nonzero(near)
                     home = own[rows] == cells

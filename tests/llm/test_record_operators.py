@@ -275,6 +275,23 @@ def test_vector_links_like_brute_force(spark):
     assert vector_join.link(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("merged", [True, False])
+def test_links_of_multiples_of_one_vector(spark, monkeypatch, merged):
+    if not merged:  # the bound holds for pivots at no distance too
+        monkeypatch.setattr(vector_join, "_apart", lambda pivots: np.unique(pivots, axis=0))
+    dice = np.random.default_rng(9)
+    rows, want = [], []
+    for label in range(16):
+        center = dice.normal(size=6 if label % 2 else 16)
+        vectors = [center * s for s in dice.uniform(0.1, 9, 300)] + [center + dice.normal(size=len(center)) * np.abs(center).mean() * 0.1 for _ in range(150)]
+        x = vector_join.unit(vectors)
+        want += ((x @ x.T >= 0.98).sum(axis=1) - 1).tolist()
+        rows += [(len(rows) + k, [float(c) for c in v], label) for k, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_join.link(frame, cell_rows=50).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+
+
 def test_components(spark):
     random.seed(1)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(70)] + [(5, None), (7, 7)]
