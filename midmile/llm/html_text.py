@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree. Nodes that say by tag, class, id or role that they are no article
-text are taken out; of the rest, the density of every node is its characters per tag,
+text are taken out, but not the one around the densest text that holds at least half of the
+page's text, unless that is mostly links or the text is in an article elsewhere; of the rest, the density of every node is its characters per tag,
 lowered by its share of links. The node whose children's densities sum highest is the core;
 the least density on its way up to the body is the threshold for further parts.
 """
@@ -52,8 +53,8 @@ _TOKEN = re.compile(
     r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)",
     re.S,
 )
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -128,29 +129,68 @@ class Page:
                 return
 
 
-def _dropped(page: Page) -> list[bool]:
+def _says(attrs: str) -> tuple[str, bool]:
+    """What class, id and role say, and whether the node is hidden."""
+    names, hidden = [], False
+    for name, *values in _ATTR.findall(attrs):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            names.append(value)
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            hidden = True
+    return " ".join(names).lower(), hidden
+
+
+def _dropped(page: Page, chars: list[int]) -> list[bool]:
     """Nodes that are, or lie in, no article text."""
     tags, parents = page.tag, page.parent
     inside = [False] * len(tags)  # of an article or main part
     holds = [False] * len(tags)
+    never = [False] * len(tags)  # shown as text
     words: list[frozenset[str]] = []
     for n, tag in enumerate(tags):
-        names = " ".join("".join(x) for x in _NAMES.findall(page.attrs[n])) if page.attrs[n] else ""
-        words.append(frozenset(_WORD.findall(names.lower())))
+        names, hidden = _says(page.attrs[n]) if page.attrs[n] else ("", False)
+        words.append(frozenset(_WORD.findall(names)))
         p = parents[n]
         inside[n] = tag in ("article", "main") or (p >= 0 and inside[p])
+        never[n] = tag in NOISE_TAGS or hidden or (p >= 0 and never[p])
     for n in range(len(tags) - 1, 0, -1):
         if holds[n] or (tags[n] in ("article", "main") and not words[n] & NOISE_WORDS):
             holds[parents[n]] = True
+    named = [False] * len(tags)
+    for n in range(1, len(tags)):
+        tag = tags[n]
+        header = (tag == "header" or words[n] & HEADER_WORDS) and not inside[n]
+        named[n] = not holds[n] and bool(header or (tag not in ("body", "html", "main") and words[n] & NOISE_WORDS))
+    kept = _kept(page, chars, never, named, words) if any(named) else frozenset()
     gone = [False] * len(tags)
     for n in range(1, len(tags)):
-        p, tag = parents[n], tags[n]
-        named = tag not in ("body", "html", "main") and not holds[n] and bool(words[n] & NOISE_WORDS)
-        header = (tag == "header" or words[n] & HEADER_WORDS) and not inside[n] and not holds[n]
-        gone[n] = gone[p] or tag in NOISE_TAGS or named or bool(header) or bool(_HIDDEN.search(page.attrs[n]))
+        gone[n] = gone[parents[n]] or never[n] or (named[n] and n not in kept)
     return gone
 
 
+def _kept(page: Page, chars: list[int], never: list[bool], named: list[bool], words: list[frozenset[str]]) -> frozenset[int]:
+    """Named nodes around the densest text that hold at least half of the page's text, less than half of it links."""
+    c, linked = chars[:], [0] * len(chars)
+    for n in range(len(c) - 1, 0, -1):
+        if never[n]:
+            c[n] = 0
+            continue
+        if page.tag[n] == "a":
+            linked[n] = c[n]
+        c[page.parent[n]] += c[n]
+        linked[page.parent[n]] += linked[n]
+    large = {n for n in range(1, len(c)) if named[n] and c[n] and 2 * c[n] >= c[0] and 2 * linked[n] < c[n]}
+    if not large or any(t in ("article", "main") and 10 * c[n] >= c[0] and not words[n] & NOISE_WORDS for n, t in enumerate(page.tag)):
+        return frozenset()
+    density, sums = _densities(page, chars, never)
+    node, around = max(range(len(c)), key=lambda n: (sums[n], density[n], -n)), set()
+    while node >= 0:
+        around.add(node)
+        node = page.parent[node]
+    return frozenset(large & around)
+
+
 def _densities(page: Page, chars: list[int], gone: list[bool]) -> tuple[list[float], list[float]]:
     """Composite density of every node, and the sum of its children's."""
     n = len(page.tag)
@@ -221,12 +261,13 @@ def _meet(page: Page, a: int, b: int) -> int:
 def main_text(source: str) -> str:
     """Blocks of the main part, joined by blank lines; white space in a block is one space."""
     page = Page(source)
-    gone = _dropped(page)
     chars = [0] * len(page.tag)
     text = [(n, entities.unescape(x) if "&" in x else x) for n, x in page.text]
     for n, x in text:
-        if not gone[n] and not x.isspace():
+        if not x.isspace():
             chars[n] += len(x)
+    gone = _dropped(page, chars)
+    chars = [0 if g else k for g, k in zip(gone, chars, strict=True)]
     core = _core(page, chars, gone)
     part = [False] * len(page.tag)
     for n in range(len(page.tag)):

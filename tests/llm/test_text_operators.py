@@ -47,6 +47,23 @@ def test_pages_without_article_tags_use_density():
     assert html_text.main_text(page) == "\n\n".join([words.strip()] * 3)
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<div class="layout has-sidebar"><div class="post">', "</div></div>"), ('<div id="no-comments">', "</div>"), ('<div class="skip-target"><div class="form-page">', "</div></div>"),
+    ('<article title="The hidden valley">', "</article>"), ('<div class="overflow hidden lg">', "</div>"), ("<div data-x=' class=\"menu\"'>", "</div>"), ('<div class="header-fixed">', "</div>"),
+])
+def test_text_in_wrappers_with_names_of_noise(start, end):
+    words = "Many words in a row make a paragraph that is dense enough to be the text. "
+    side = '<div class="sidebar"><p>Short words at the side.</p></div><div hidden><p>Not shown.</p></div><p aria-hidden="true">Nor this.</p>'
+    want = "\n\n".join([words.strip()] * 3)
+    assert html_text.main_text(f"<body>{start}{f'<p>{words}</p>' * 3}{side}{end}</body>") == want
+
+
+def test_named_parts_of_little_text_or_many_links_go():
+    words = "Many words in a row make a paragraph that is dense enough to be the text. "
+    page = f'<body><div>{f"<p>{words}</p>" * 3}</div><div class="menu">{"<p><a href=x>A link of many words to another page</a></p>" * 20}</div><div class="comments"><p>{words}</p></div></body>'
+    assert html_text.main_text(page) == "\n\n".join([words.strip()] * 3)
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "</p>", "<p><b>", "<!--", "<script>x", "<a href='>", "&#xZZ; &", "\0", "<div>" * 3000])
 def test_broken_pages_give_some_text(page):
     html_text.main_text(page)
