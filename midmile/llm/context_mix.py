@@ -6,7 +6,12 @@ first bits. The logits of these predictors are added up with weights that a gate
 online with each occurrence left out of its own counts. An adaptive map then corrects the mixed
 probability by what really followed at that confidence. The sum over all bits is the text's
 log-probability. As a bit depends on the last six bytes only, every distinct run of six bytes is
-looked up once per batch.
+looked up once for some megabytes of text.
+
+Contexts of 0 to 2 bytes are as many as the alphabet has; their tables travel. Longer ones grow with
+the corpus: runs of six bytes are dealt to shards by the three bytes before the last, with as many
+shards as the runs counted in training need. All counts of a longer context are in one shard, so its
+tables are made, learned from and asked there.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import Broadcast
@@ -27,7 +33,8 @@ from midmile.llm.common import bounded_batches
 from midmile.runtime import stage
 
 ORDERS = 6  # contexts of 0 to 5 bytes
-BITS = (16, 17, 20, 22, 22, 22)  # of the slot number of each order's table: the model's fixed size
+BITS = (16, 17, 20, 22, 22, 22)  # of the slot number of each order's table: the size of one shard's model
+SHORT = 3  # orders whose tables all shards share
 BASE = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])  # first slot of each order in one common numbering
 WINDOW = 6
 PAD, END = b"\xfe" * (WINDOW - 1), b"\xff"  # no byte of UTF-8 is either
@@ -188,8 +195,9 @@ class Model:
 
 PIECE_BYTES = 2 << 20  # text looked up at once
 HELD = 2_000_000  # distinct windows or words that a task adds up
-KNOWN = 1_000_000  # distinct windows whose probability a task remembers
-LEARNED = 250_000  # distinct windows that a learning task has at least, if there are so many
+SHARD = 150_000  # distinct windows of the training texts in one shard, on average
+SHARD_BYTES = 64 << 20  # text that one shard is asked for, on average
+BUNDLE_BYTES = 8 << 20  # text that asks the shards together
 STEP = 1024  # windows in one online step
 LOOKED_UP = 16_384  # windows looked up in one go: fits the cache
 HEAD = 400_000  # frequent words that travel with every task; the others are joined
@@ -267,8 +275,8 @@ def gather(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _tables(seen: DataFrame) -> np.ndarray:
-    """Zeros and ones of every slot, from the windows; large counts are scaled down to 16 bits."""
+def _tables(seen: DataFrame, orders: int = ORDERS) -> np.ndarray:
+    """Zeros and ones of every slot of the first ``orders`` tables, from the windows; large counts are scaled down to 16 bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
@@ -278,7 +286,7 @@ def _tables(seen: DataFrame) -> np.ndarray:
             before = contexts(x)
             keys.clear()
             counts.clear()
-            for o in range(ORDERS):
+            for o in range(orders):
                 size = 1 << BITS[o]
                 sums = np.zeros(2 * size)
                 for bit in range(8):
@@ -305,10 +313,10 @@ def _tables(seen: DataFrame) -> np.ndarray:
 
     sums = seen.mapInArrow(count, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     packed = sums.groupBy(F.floor(F.col("slot") / CHUNK)).applyInPandas(pack, "chunk long, data binary")
-    counts = np.zeros((-(-int(BASE[-1]) // CHUNK), CHUNK, 2), np.uint16)
-    for row in packed.toLocalIterator():  # a table of fixed size: 53 MB
+    counts = np.zeros((-(-int(BASE[orders]) // CHUNK), CHUNK, 2), np.uint16)
+    for row in packed.toLocalIterator():  # a table of fixed size: 5 MB for the short contexts
         counts[row["chunk"]] = np.frombuffer(row["data"], "<u2").reshape(CHUNK, 2)
-    return counts.reshape(-1, 2)[: int(BASE[-1])]
+    return counts.reshape(-1, 2)[: int(BASE[orders])]
 
 
 def _sent(spark: SparkSession, counts: np.ndarray) -> Broadcast:
@@ -320,25 +328,86 @@ def _unpacked(packed: Broadcast) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(packed.value), np.uint16).reshape(-1, 2)
 
 
-def _learned(seen: DataFrame, packed: Broadcast) -> np.ndarray:
-    """Mixing weights: each task learns online from its windows; gates are averaged by what they saw."""
+def _shard_of(x: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of every window: windows with equal three bytes before the last one are in one."""
+    h = (x.astype(np.uint64) >> np.uint64(8) & np.uint64(0xFFFFFF)) * _MIX
+    return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % shards
+
+
+PART = "shard long, bundle long, x binary, n binary"
+
+
+def _parts(x: np.ndarray, n: np.ndarray | None, bundle: int | None, shards: int) -> pa.RecordBatch:
+    """Windows as one row for each shard: with counts, from the training texts; without, asked for by a bundle."""
+    of = _shard_of(x, shards)
+    order = np.argsort(of, kind="stable")
+    found, starts = np.unique(of[order], return_index=True)
+    cut = lambda v: [p.tobytes() for p in np.split(v[order], starts[1:])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(found), pa.array([bundle] * len(found), pa.int64()), pa.array(cut(x), pa.binary()), pa.array(cut(n) if n is not None else [None] * len(found), pa.binary())],
+        [c.split()[0] for c in PART.split(", ")],
+    )
+
+
+def _dealt(seen: DataFrame, shards: int) -> DataFrame:
+    """The windows of the training texts by shard."""
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, counts = Mixer(), _unpacked(packed)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
         for batch in batches:
-            x, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
-            for k in range(0, len(x), STEP):
-                part = x[k : k + STEP]
-                before = contexts(part)
-                for bit in range(8):
-                    mixer.learn(*inputs(part, before, bit, counts), bit_of(part, bit), n[k : k + STEP])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(GATES), ORDERS)), pa.array(np.tile(np.arange(ORDERS), GATES)),
-             pa.array((mixer.weights * mixer.seen[:, None]).ravel()), pa.array(np.repeat(mixer.seen, ORDERS))],
-            ["gate", "input", "w", "seen"],
-        )
-
-    sums = seen.mapInArrow(learn, "gate long, input long, w double, seen double").groupBy("gate", "input").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen"))
+            held[0].append(batch.column(0).to_numpy())
+            held[1].append(batch.column(1).to_numpy())
+            if sum(map(len, held[0])) > HELD:
+                yield _parts(np.concatenate(held[0]), np.concatenate(held[1]), None, shards)
+                held = ([], [])
+        if held[0]:
+            yield _parts(np.concatenate(held[0]), np.concatenate(held[1]), None, shards)
+
+    return seen.mapInArrow(deal, PART)
+
+
+def _joined(column: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.int64)
+
+
+def _shard_counts(rows: pd.DataFrame, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's windows of the training texts in an order without meaning, their counts, and its tables."""
+    rows = rows[rows["n"].notna()]
+    x, n = _joined(rows["x"]), _joined(rows["n"])
+    order = np.argsort(x.astype(np.uint64) * _MIX)
+    x, n = x[order], n[order]
+    counts = np.zeros((int(BASE[-1]), 2), np.uint16)
+    counts[: len(short)] = short
+    before = contexts(x)
+    for o in range(SHORT, ORDERS):
+        at = np.concatenate([slots(before[o], first_bits(x, bit), o) * 2 + bit_of(x, bit) for bit in range(8)])
+        used, of = np.unique(at, return_inverse=True)
+        sums = np.bincount(of, np.tile(n, 8), len(used))
+        slot, of = np.unique(used >> 1, return_inverse=True)
+        both = np.zeros((len(slot), 2))
+        both[of, used & 1] = sums
+        counts[slot] = (both / np.maximum(1, both.max(axis=1) / MOST_COUNT)[:, None]).round()
+    return x, n, counts
+
+
+def _learned(dealt: DataFrame, packed: Broadcast) -> np.ndarray:
+    """Mixing weights: each shard learns online from its windows; gates are averaged by what they saw."""
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        mixer = Mixer()
+        x, n, counts = _shard_counts(rows, _unpacked(packed))
+        for k in range(0, len(x), STEP):
+            part = x[k : k + STEP]
+            before = contexts(part)
+            for bit in range(8):
+                mixer.learn(*inputs(part, before, bit, counts), bit_of(part, bit), n[k : k + STEP].astype(np.float64))
+        return pd.DataFrame({
+            "gate": np.repeat(np.arange(GATES), ORDERS), "input": np.tile(np.arange(ORDERS), GATES),
+            "w": (mixer.weights * mixer.seen[:, None]).ravel(), "seen": np.repeat(mixer.seen, ORDERS),
+        })
+
+    found = dealt.groupBy("shard").applyInPandas(learn, "gate long, input long, w double, seen double")
+    sums = found.groupBy("gate", "input").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen"))
     weights = Mixer().weights
     for row in sums.collect():  # one for each gate and input
         if row["seen"] > 0:
@@ -346,13 +415,14 @@ def _learned(seen: DataFrame, packed: Broadcast) -> np.ndarray:
     return weights
 
 
-def _mapped(seen: DataFrame, packed: Broadcast, weights: np.ndarray) -> np.ndarray:
+def _mapped(dealt: DataFrame, packed: Broadcast, weights: np.ndarray) -> np.ndarray:
     """The adaptive map: share of ones at every confidence, after every run of first bits."""
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, sums, counts = Mixer(weights), np.zeros((2, 256 * BUCKETS)), _unpacked(packed)
-        for batch in batches:
-            x, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        mixer, sums = Mixer(weights), np.zeros((2, 256 * BUCKETS))
+        all_x, all_n, counts = _shard_counts(rows, _unpacked(packed))
+        for k in range(0, len(all_x), LOOKED_UP):
+            x, n = all_x[k : k + LOOKED_UP], all_n[k : k + LOOKED_UP].astype(np.float64)
             before = contexts(x)
             for bit in range(8):
                 at = place(mixer.mix(*inputs(x, before, bit, counts)))
@@ -362,15 +432,68 @@ def _mapped(seen: DataFrame, packed: Broadcast, weights: np.ndarray) -> np.ndarr
                     sums[0] += np.bincount(cell + shift, part, 256 * BUCKETS)
                     sums[1] += np.bincount(cell + shift, part * one, 256 * BUCKETS)
         used = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], ["cell", "n", "ones"])
+        return pd.DataFrame({"cell": used, "n": sums[0, used], "ones": sums[1, used]})
 
-    rows = seen.mapInArrow(follow, "cell long, n double, ones double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    found = dealt.groupBy("shard").applyInPandas(follow, "cell long, n double, ones double")
     table = plain_map().ravel()
-    for row in rows.collect():  # 256 x 33 cells
+    for row in found.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect():  # 256 x 33 cells
         table[row["cell"]] = (row["ones"] + 2 * table[row["cell"]]) / (row["n"] + 2)
     return table.reshape(256, BUCKETS)
 
 
+TEXTS = "uid long, doc_id long, held_out boolean, text binary, bundle long"
+
+
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their bundle: the uid of its first row. A longer text is a bundle by itself."""
+    bundle, size = None, 0
+    for batch in batches:
+        bundles = []
+        for uid, length in zip(batch.column(0).to_pylist(), pc.binary_length(batch.column(3)).to_pylist(), strict=True):
+            if bundle is None or size + length > BUNDLE_BYTES:
+                bundle, size = uid, 0
+            size += length
+            bundles.append(bundle)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bundles, pa.int64())], [c.split()[0] for c in TEXTS.split(", ")])
+
+
+def _asked(texts: DataFrame, shards: int) -> DataFrame:
+    """The distinct windows of every bundle by shard."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for start, stop in zip(edges, edges[1:]):
+                if start == stop:
+                    continue
+                if held and at[start] != last:
+                    yield _parts(np.unique(np.concatenate(held)), None, last, shards)
+                    held = []
+                last = int(at[start])
+                held += [np.unique(windows([p for _, p in run])) for run in _runs([t.as_py() for t in batch.column(0)[start:stop]])]
+        if held:
+            yield _parts(np.unique(np.concatenate(held)), None, last, shards)
+
+    return texts.select("text", "bundle").mapInArrow(ask, PART)
+
+
+def _answered(parts: DataFrame, packed: Broadcast, weights: np.ndarray, table: np.ndarray) -> DataFrame:
+    """Rows (bundle, x, bits): log2 of the probability of every window that a bundle asked a shard for."""
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        asks = rows[rows["n"].isna()]
+        if not len(asks):
+            return pd.DataFrame({"bundle": [], "x": [], "bits": []}).astype({"bundle": "int64"})
+        x, at = np.unique(_joined(asks["x"]), return_inverse=True)
+        bits = _looked_up(Model(_shard_counts(rows, _unpacked(packed))[2], weights, table), x)[at]
+        ends = np.cumsum([len(b) // 8 for b in asks["x"]])
+        return pd.DataFrame({"bundle": asks["bundle"].astype("int64"), "x": asks["x"], "bits": [b.tobytes() for b in np.split(bits, ends[:-1])]})
+
+    return parts.groupBy("shard").applyInPandas(answer, "bundle long, x binary, bits binary")
+
+
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, bytes long, bits double, head_known long, head_score double, rare array<long>, often array<long>"
 
 
@@ -387,36 +510,36 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    gathered = stage(gather(rows.where(~F.col("held_out")).select("text")), "gathered")
+    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
+    texts = stage(numbered.mapInArrow(_bundled, TEXTS), "texts")
+    gathered = stage(gather(texts.where(~F.col("held_out")).select("text")), "gathered")
     seen, words = gathered.where("kind = 0").select("key", "n"), gathered.where("kind = 1").select("key", "n")
-    packed = _sent(spark, _tables(seen))
-    weights = _learned(seen.coalesce(max(1, seen.count() // LEARNED)), packed)
-    table = _mapped(seen, packed, weights)
+    packed = _sent(spark, _tables(seen, SHORT))
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    shards = max(1, -(-seen.count() // SHARD), -(-n_bytes // SHARD_BYTES))
+    dealt = stage(_dealt(seen, shards), "dealt")
+    weights = _learned(dealt, packed)
+    table = _mapped(dealt, packed, weights)
+    answers = _answered(dealt.union(_asked(texts, shards)), packed, weights, table)
 
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = _head_least(words)
     head = words.where(F.col("n") >= least).orderBy("key").toPandas()  # at most HEAD words
     frequent = spark.sparkContext.broadcast((head["key"].to_numpy(np.int64), np.log10(head["n"].to_numpy(np.float64) + 0.5)))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, model = _Words(), Model(_unpacked(packed), weights, table)
-        keys, logs = frequent.value
-        known, bits_of = np.empty(0, np.int64), np.empty(0)
-        for batch, texts in _batches(batches, 3):
+    def judge(bundle: pa.Table, answered: pa.Table) -> pa.Table:
+        hashes, (keys, logs) = _Words(), frequent.value
+        known, bits_of = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in answered[c]]) for c, kind in (("x", np.int64), ("bits", np.float64)))
+        known, first = np.unique(known, return_index=True)  # a bundle that two tasks read has asked twice
+        bits_of, out = bits_of[first], []
+        for batch, texts in _batches(bundle.to_batches(), 3):
             bits = np.zeros(len(texts))
             for run in _runs(texts):
-                x, at = np.unique(windows([p for _, p in run]), return_inverse=True)
-                place_of = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
-                new = x[known[place_of] != x] if len(known) else x
-                if len(known) + len(new) > KNOWN:
-                    known, bits_of, new = np.empty(0, np.int64), np.empty(0), x
-                if len(new):
-                    both = np.concatenate([known, new])
-                    order = np.argsort(both, kind="stable")
-                    known, bits_of = both[order], np.concatenate([bits_of, _looked_up(model, new)])[order]
-                each = bits_of[np.searchsorted(known, x)][at]
+                x = windows([p for _, p in run])
+                at = np.searchsorted(known, x)
+                assert (known[at] == x).all()
                 ends = np.cumsum([len(p[1]) for _, p in run])
-                sums = np.add.reduceat(each, np.concatenate([[0], ends[:-1]]))
+                sums = np.add.reduceat(bits_of[at], np.concatenate([[0], ends[:-1]]))
                 np.add.at(bits, [k for k, _ in run], sums)
             tokens = [_hashes(t, hashes) for t in texts]
             n_known, total, rare, often = [], [], [], []
@@ -428,17 +551,17 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
                 found, n = np.unique(t[~there], return_counts=True)
                 rare.append(found)
                 often.append(n)
-            yield pa.RecordBatch.from_arrays(
+            out.append(pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), batch.column(2), pa.array([len(t) for t in tokens], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()), pa.array(bits), pa.array(n_known, pa.int64()), pa.array(total, pa.float64()),
                     pa.array(rare, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64())),
                 ],
                 [x.split()[0] for x in SCORED.split(", ")],
-            )
+            ))
+        return pa.Table.from_batches(out)
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text")
-    scored = stage(numbered.mapInArrow(judge, SCORED), "scored")
+    scored = stage(texts.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(judge, SCORED), "scored")
     asked = scored.select("uid", F.explode(F.arrays_zip("rare", "often")).alias("w")).select("uid", F.col("w.rare").alias("key"), F.col("w.often").alias("often"))
     found = asked.join(words.where(F.col("n") < least), "key", "left").groupBy("uid").agg(
         F.sum(F.col("often") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("often"))).alias("rare_known")

@@ -187,16 +187,36 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_many_distinct_windows_like_text_by_text(spark, monkeypatch):
+    monkeypatch.setattr(context_mix, "SHARD", 50_000)
     dice = np.random.default_rng(5)
     texts = [bytes(dice.integers(97, 123, 30_000).astype(np.uint8)).decode() for _ in range(4)]
     docs = spark.createDataFrame([(k, texts[k % 4]) for k in range(8)], "doc_id long, text string").coalesce(1)
-    models, made = [], context_mix._mapped
-    monkeypatch.setattr(context_mix, "_mapped", lambda seen, packed, weights: models.append((context_mix._unpacked(packed), weights, made(seen, packed, weights))) or models[0][2])
+    models, dealt, made = [], [], context_mix._mapped
+    monkeypatch.setattr(context_mix, "_mapped", lambda *a: dealt.append(a[0].toPandas()) or models.append((context_mix._unpacked(a[1]), a[2], made(*a))) or models[0][2])
     got = context_mix.score(docs, F.lit(False)).collect()
-    model = context_mix.Model(*models[0])
+    short, weights, table = models[0]
+    shards = {k: context_mix.Model(context_mix._shard_counts(rows, short)[2], weights, table) for k, rows in dealt[0].groupby("shard")}
+    assert len(shards) == 3  # 120,000 windows
     for r in got:
         x = context_mix.windows(context_mix.pieces(texts[r.doc_id % 4].encode(), 10**6))
-        assert r.score == pytest.approx(sum(model.log2_byte(x[k : k + 5000]).sum() for k in range(0, len(x), 5000)) * math.log10(2), rel=1e-6)
+        of = context_mix._shard_of(x, 3)
+        assert r.score == pytest.approx(sum(shards[k].log2_byte(x[of == k]).sum() for k in range(3)) * math.log10(2), rel=1e-6)
+
+
+def test_shards_follow_the_corpus(spark, monkeypatch):
+    """A context that was never seen stays unseen however much text there is: tables are not fuller than the shard's windows make them."""
+    monkeypatch.setattr(context_mix, "SHARD", 20_000)
+    dealt, made = [], context_mix._learned
+    monkeypatch.setattr(context_mix, "_learned", lambda *a: dealt.append(a[0].toPandas()) or made(*a))
+    dice = np.random.default_rng(6)
+    docs = spark.createDataFrame([(k, bytes(dice.integers(97, 123, 20_000).astype(np.uint8)).decode()) for k in range(20)], "doc_id long, text string")
+    assert context_mix.score(docs, F.lit(False)).count() == 20
+    short = np.zeros((int(context_mix.BASE[context_mix.SHORT]), 2), np.uint16)
+    found = {k: context_mix._shard_counts(rows, short) for k, rows in dealt[0].groupby("shard")}
+    assert len(found) == 20
+    for x, n, counts in found.values():
+        assert counts[int(context_mix.BASE[context_mix.SHORT]) :].sum() == 3 * 8 * n.sum()
+        assert (counts[int(context_mix.BASE[-2]) :].any(axis=1)).mean() < 0.1
 
 
 # --- the pipeline
