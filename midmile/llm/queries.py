@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from midmile.llm import byte_bpe, chat, context_mix, decontaminate, html_text, language_id, near_dup, url_lists, vector_join, warc
+from midmile.llm import byte_bpe, chat, context_mix, decontaminate, html_text, language_id, near_dup, spelling, url_lists, vector_join, warc
 from midmile.llm.common import fold, table
 from midmile.llm.oracles import ORACLES  # noqa: F401  read by the driver's entry
 from midmile.runtime import fresh_path, stage
@@ -132,3 +132,9 @@ def op10_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     )
     found = url_lists.judge(captures, records)
     return found.select("page_id", "fetched", (F.size("lists") > 0).alias("blocked"), F.array_join("lists", ",").alias("lists"), "kind", "n_entries")
+
+
+@register
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents with its near words, form and root."""
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents", "doc_id", "text")))
