@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from midmile.llm import byte_bpe, chat, context_mix, decontaminate, html_text, language_id, near_dup, spelling, url_lists, vector_join, warc
+from midmile.llm import byte_bpe, chat, context_mix, decontaminate, html_text, language_id, near_dup, repeats, spelling, url_lists, vector_join, warc
 from midmile.llm.common import fold, table
 from midmile.llm.oracles import ORACLES  # noqa: F401  read by the driver's entry
 from midmile.runtime import fresh_path, stage
@@ -138,3 +138,10 @@ def op10_url_lists(spark: SparkSession, folder: str) -> DataFrame:
 def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of the documents with its near words, form and root."""
     return spelling.variants(spelling.vocabulary(table(spark, folder, "documents", "doc_id", "text")))
+
+
+@register
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of 100 bytes that stand earlier."""
+    found = repeats.remove_repeats(table(spark, folder, "documents", "doc_id", "text"), keep=lambda kept: F.sha2(kept, 256))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
