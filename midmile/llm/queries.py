@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from midmile.llm import byte_bpe, chat, context_mix, decontaminate, html_text, language_id, near_dup, repeats, spelling, url_lists, vector_join, warc
+from midmile.llm import byte_bpe, chat, context_mix, decontaminate, html_text, language_id, near_dup, repeats, spelling, structure, url_lists, vector_join, warc
 from midmile.llm.common import fold, table
 from midmile.llm.oracles import ORACLES  # noqa: F401  read by the driver's entry
 from midmile.runtime import fresh_path, stage
@@ -140,6 +140,18 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, folder, "documents", "doc_id", "text")))
 
 
+@register
+def op12_structure(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation damaged by a rule and repaired at least cost."""
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    report, repaired = structure.repair(structure.damage(rows))
+    report = report.drop("id").join(structure.digests(repaired), "ckey", "left")
+    every = rows.select("conv_id", structure.conversation_key("conv_id").alias("ckey")).distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    found = every.join(report, "ckey", "left")
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 @register
 def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the passages of 100 bytes that stand earlier."""
