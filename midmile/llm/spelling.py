@@ -3,8 +3,8 @@
 The gram dictionary starts with the short grams; a gram that stands in more than a threshold of places
 gives way to its extensions. At every place a word has the shortest gram that the dictionary does not
 extend, so a gram is told by its own letters alone and one edit affects only the grams that
-cover it. With ``g`` grams of which an edit affects at most ``a``, near words share at least
-``g - a`` grams; so in one order of all grams, rarest first, they share one of the first ``a + 1``.
+cover it. If an edit affects at most ``a`` of a word's grams, one of the first ``a + 1`` in one order of
+all grams, rarest first, also stands among those of any near word, at its place or the next.
 Lists of these are merged and pairs verified. Words of which an edit can affect all grams
 are also listed under themselves and every form with a letter less.
 """
@@ -116,20 +116,20 @@ def dictionary(words: DataFrame, grams: Grams = Grams()) -> tuple[np.ndarray, np
 
 
 def decompose(words: list[str], extended: tuple[np.ndarray, np.ndarray], grams: Grams) -> tuple[np.ndarray, ...]:
-    """For every place: its word, token and place in the order of all grams; for every word: the most grams an edit affects.
+    """(word, place, gram, weight) of every gram, a word's rarest first, and for every word the most grams that an edit affects.
 
-    The k-th equal gram of a word is a token of its own, so shared tokens count repeated grams as often as they repeat.
+    The weight is the number of places of the longest part that the dictionary extends.
     """
     code, begin, sizes, places = _layout(words, grams.most)
     owner = np.repeat(np.arange(len(words)), sizes + 1)
     known, n = extended
     length = np.full(len(places), grams.least, np.int64)
     weight = np.zeros(len(places), np.int64)
-    token, open_ = np.zeros(len(places), np.uint64), np.ones(len(places), bool)
+    gram, open_ = np.zeros(len(places), np.uint64), np.ones(len(places), bool)
     for size, h in _hashes(code, places, grams.most):
         if size < grams.least:
             continue
-        token[open_] = h[open_] + np.uint64(size)
+        gram[open_] = h[open_] + np.uint64(size)
         if size < grams.most:
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
             open_ &= (known[at] == h) if len(known) else False
@@ -142,48 +142,69 @@ def decompose(words: list[str], extended: tuple[np.ndarray, np.ndarray], grams:
     cover = np.cumsum(cover)
     inside = np.stack([begin + 1, begin + sizes + 1], axis=1).ravel()
     affected = np.maximum.reduceat(cover, inside)[::2] if len(words) else np.empty(0, np.int64)
-    order = np.lexsort((token, owner))
-    owner, token, weight = owner[order], token[order], weight[order]
-    again = np.concatenate([[False], (owner[1:] == owner[:-1]) & (token[1:] == token[:-1])]) if len(owner) else np.empty(0, bool)
-    since = np.arange(len(owner)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(owner))))
-    token = token ^ (since.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return owner, token, weight, affected
+    place = places - begin[owner]
+    order = np.lexsort((place, gram, weight, owner))
+    return owner[order], place[order], gram[order], weight[order], affected
+
+
+SAME, LONGER = 0, 1  # a listed word meets others as one of the same length or as the longer one
+SHORTER = 2
+
+
+def _mixed(gram: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    h = (gram ^ (size * 1024 + place).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ h >> np.uint64(29)).view(np.int64)
 
 
 def _listed(extended: tuple[np.ndarray, np.ndarray], grams: Grams) -> Callable:
+    """Rows (key, kind, word, n): lists hold the words of a length with a gram at a place.
+
+    Of two near words of one length, a gram that the edit does not affect stands at the same place; in a word
+    that is longer by a letter, at the same place or the next. The first of these grams in the order of all stands
+    among the first ``affected + 1`` of both words, as those before it are affected.
+    """
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
             if not words:
                 continue
-            owner, token, weight, affected = decompose(words, extended, grams)
-            order = np.lexsort((token, weight, owner))
-            owner, token = owner[order], token[order]
+            owner, place, gram, _, affected = decompose(words, extended, grams)
             count = np.bincount(owner, minlength=len(words))
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            keep = place <= affected[owner]
-            owner, token = owner[keep].tolist(), token[keep].view(np.int64).tolist()
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            keep = nth <= affected[owner]
+            owner, place, gram = owner[keep], place[keep], gram[keep]
+            size = np.array([len(w) for w in words])[owner]
+            own = _mixed(gram, size, place)
+            keys = [own, own, _mixed(gram, size - 1, place), _mixed(gram, size - 1, place - 1)]
+            kinds = np.repeat([SHORTER, SAME, LONGER, LONGER], len(owner))
+            owners = np.tile(owner, 4)
+            more: list[tuple[int, int, int]] = []
             for k in np.nonzero(count <= affected)[0].tolist():
                 word = words[k]
-                for less in {word} | {word[:j] + word[j + 1 :] for j in range(len(word))}:
-                    owner.append(k)
-                    token.append(xxhash.xxh3_64_intdigest(less.encode("utf-8", "surrogatepass"), seed=5) - 2**63)
-            at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["token", "word", "n"])
+                digest = lambda x, seed: xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), seed=seed) - 2**63
+                more.append((digest(word, 5), SHORTER, k))
+                for less in {word[:j] + word[j + 1 :] for j in range(len(word))}:
+                    more += [(digest(less, 6), SHORTER, k), (digest(less, 6), SAME, k), (digest(less, 5), LONGER, k)]
+            key = np.concatenate([*keys, np.array([m[0] for m in more], np.int64)])
+            kind = np.concatenate([kinds, np.array([m[1] for m in more], np.int64)])
+            at = pa.array(np.concatenate([owners, np.array([m[2] for m in more], np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind.astype(np.int8)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "kind", "word", "n"])
 
     return rows
 
 
 def near_pairs(words: DataFrame, grams: Grams = Grams()) -> DataFrame:
-    """``a, a_n, b, b_n`` with a < b: every two of the distinct ``words(word, n)`` that one edit sets apart, once.
+    """``a, a_n, b, b_n``: every two of the distinct ``words(word, n)`` that one edit sets apart, once.
 
     Long lists are split over tasks by `balanced_join`.
     """
     extended = dictionary(words, grams)
-    listed = stage(words.select("word", "n").mapInArrow(_listed(extended, grams), "token long, word string, n long"), "gram-lists")
-    side = lambda name: listed.select("token", F.col("word").alias(name), F.col("n").alias(f"{name}_n"))
-    met = balanced_join(side("a"), side("b"), "token").where(F.col("a") < F.col("b"))
-    met = met.where(F.abs(F.length("a") - F.length("b")) <= 1).where(F.levenshtein("a", "b", 1) == 1)
+    listed = stage(words.select("word", "n").mapInArrow(_listed(extended, grams), "key long, kind byte, word string, n long"), "gram-lists")
+    short = listed.where(F.col("kind") == SHORTER).select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    other = listed.where(F.col("kind") != SHORTER).select("key", "kind", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    met = balanced_join(short, other, "key").where((F.col("kind") == LONGER) | (F.col("a") < F.col("b")))
+    met = met.where(F.levenshtein("a", "b", 1) == 1)
     return met.select("a", "a_n", "b", "b_n").distinct()
 
 

@@ -85,13 +85,13 @@ def test_no_words(spark):
 
 
 def test_an_edit_affects_only_grams_that_cover_it(words):
-    """Near words share at least as many tokens as either's bound says."""
+    """Near words share at least as many grams as either's bound says."""
     some = sorted(words)[:600]
     grams = spelling.Grams(2, 6, 4)
     code, _, _, places = spelling._layout(some, grams.most)
     all_ = np.concatenate([h for size, h in spelling._hashes(code, places, grams.most) if grams.least <= size < grams.most])
     known, n = np.unique(all_, return_counts=True)
-    owner, token, _, affected = spelling.decompose(some, (known[n > grams.places], n[n > grams.places]), grams)
+    owner, _, token, _, affected = spelling.decompose(some, (known[n > grams.places], n[n > grams.places]), grams)
     tokens = [Counter(token[owner == k].tolist()) for k in range(len(some))]
     checked = 0
     for i, a in enumerate(some):
