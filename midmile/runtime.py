@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from weakref import WeakSet
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
-_staged: WeakSet[DataFrame] = WeakSet()
+_staged: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def session(app: str = "midmile", cores: int | None = None, memory: str = "16g") -> SparkSession:
@@ -63,10 +63,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
-    _staged.add(table)
+    _staged[table] = path
     return table
 
 
+def release(table: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more: what was made of it must be staged itself by now."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop(table))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def is_staged(df: DataFrame) -> bool:
     """Whether ``df`` is a staged table itself: a repeated task reads its rows in the same order."""
     return df in _staged
