@@ -133,3 +133,48 @@ def route_weather(routes: DataFrame, stations: DataFrame, alerts: DataFrame, max
         .agg(best, F.min("distance_m").alias("distance_m"))
         .select("route_id", "date", "best.station", "best.weather_alert", "distance_m")
     )
+
+
+def _first_ring_m(stations: DataFrame, max_m: float, wanted: int = 4) -> float:
+    """A radius in which about ``wanted`` stations are expected where they are dense: from the fullest of some coarse cells."""
+    counts = stations.groupBy(geo.cell_of(F.col("latitude"), F.col("longitude"), max_m)).agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 1
+    return max(max_m / 64, min(max_m, max_m * (wanted / most) ** 0.5))
+
+
+def nearest_alerts(
+    routes: DataFrame, stations: DataFrame, alerts: DataFrame, max_km: float = 100.0, first_km: float | None = None, listed: list[int] | None = None
+) -> DataFrame:
+    """The rows of `route_weather`, found ring by ring: ``route_id, date, station, weather_alert, distance_m``.
+
+    Stations are looked for within a radius that doubles up to ``max_km``. What a ring gives is final, as every
+    nearer station has been seen; routes that have an alert for every date of ``alerts`` stop, so where stations are dense only the first
+    ring is listed. ``first_km`` defaults to what their density asks for. ``listed`` is given the number of (route, station,
+    date) rows of each ring. ``alerts`` has one row per station and date.
+    """
+    max_m = max_km * 1000
+    known = stage(alerts.select("station", "date", "weather_alert"), "alerts")
+    alerting = stage(stations.join(known.select("station").distinct(), "station", "left_semi"), "alerting-stations")
+    dates = known.agg(F.count_distinct("date")).first()[0]
+    reach, inner = (first_km * 1000 if first_km else _first_ring_m(alerting, max_m)), -1.0
+    found, open_ = [], routes
+    while True:
+        reach = min(reach, max_m)
+        ring = corridor_join(open_, alerting, reach, point_id="station").where(F.col("distance_m") > inner)
+        ring = stage(ring.select("route_id", "station", "distance_m"), "ring")
+        met = balanced_join(ring, known, "station")
+        if found:
+            met = met.join(found[-1].select("route_id", "date"), ["route_id", "date"], "left_anti")
+        if listed is not None:
+            met = stage(met, "listed")
+            listed.append(met.count())
+        best = F.min_by(F.struct("station", "weather_alert", "distance_m"), F.struct("distance_m", "station")).alias("best")
+        new = met.groupBy("route_id", "date").agg(best).select("route_id", "date", "best.station", "best.weather_alert", "best.distance_m")
+        found.append(stage(found[-1].unionByName(new) if found else new, "nearest"))
+        if reach >= max_m:
+            return found[-1]
+        done = found[-1].groupBy("route_id").agg(F.count("*").alias("n")).where(F.col("n") >= dates).select("route_id")
+        open_ = stage(routes.join(done, "route_id", "left_anti"), "open-routes")
+        if open_.isEmpty():
+            return found[-1]
+        inner, reach = reach, reach * 2

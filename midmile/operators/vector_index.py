@@ -143,12 +143,13 @@ def cells(spark: SparkSession, index: Index) -> DataFrame:
 
 
 def _nearest(index: Index, probes: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The cells nearest to every query."""
+    """The cells nearest to every query, the nearest at place 0."""
     for pdf in batches:
         if len(pdf):
             apart = _distances(_placed(R._matrix(pdf["vector"]), index.metric), index.centroids)
             near = np.argsort(apart, axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), near.shape[1]), "cell": near.ravel().astype("int32")})
+            place = np.tile(np.arange(near.shape[1]), len(near))
+            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), near.shape[1]), "cell": near.ravel().astype("int32"), "place": place})
 
 
 def _open(index: Index, probes: int, radius: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,11 +220,11 @@ def search(queries: DataFrame, index: Index, k: int = 5, probes: int | None = No
         if r.cell >= 0:
             radius[r.cell] = r.radius
     query_id = f"query_id {asked.schema['query_id'].dataType.simpleString()}"
-    schema, cell_schema = f"{query_id}, chunk_id {index.id_type}, score double", f"{query_id}, cell int"
+    schema = f"{query_id}, chunk_id {index.id_type}, score double"
     if not rows:
         return R.rank_hits(spark.createDataFrame([], schema), k)
-    near = asked.mapInPandas(partial(_nearest, index, probes or first), cell_schema)
-    found = _meet(spark, index, near, asked, rows, k, schema)
+    near = asked.mapInPandas(partial(_nearest, index, probes or first), f"{query_id}, cell int, place long")
+    found = _meet(spark, index, near.select("query_id", "cell"), asked, rows, k, schema)
     if ZERO in rows:  # all of them have score 0, so the k least ids stand for all
         zero = [r.chunk_id for r in stored(spark, index, [ZERO]).select("chunk_id").orderBy("chunk_id").limit(k).collect()]
         ids = F.explode(F.array(*[F.lit(c).cast(index.id_type) for c in zero])).alias("chunk_id")
@@ -231,11 +232,27 @@ def search(queries: DataFrame, index: Index, k: int = 5, probes: int | None = No
     if probes is None:
         found = stage(found, "near-hits")
         kth = R.rank_hits(found, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-        rest = asked.join(kth, "query_id", "left").mapInPandas(partial(_open, index, first, radius), cell_schema)
+        rest = asked.join(kth, "query_id", "left").mapInPandas(partial(_open, index, first, radius), f"{query_id}, cell int")
         found = found.unionByName(_meet(spark, index, rest, asked, rows, k, schema))
     return R.rank_hits(found, k)
 
 
+def tune(queries: DataFrame, index: Index, k: int = 5, target: float = 0.95) -> int:
+    """The least number of probes that would have found ``target`` of the exact hits of some ``queries(query_id, embedding)``.
+
+    Give a bounded sample: it is searched exactly, and how near each hit's cell is to its query comes to the driver.
+    """
+    spark = queries.sparkSession
+    asked = stage(queries.select("query_id", "embedding"), "tuning-queries")
+    exact = stage(search(asked, index, k).select("query_id", "chunk_id"), "exact-hits")
+    homes = stored(spark, index, list(range(len(index.centroids)))).select("chunk_id", "cell")
+    query_id = f"query_id {asked.schema['query_id'].dataType.simpleString()}"
+    vectors = asked.select("query_id", F.col("embedding").cast("array<double>").alias("vector")).where("vector is not null")
+    near = vectors.mapInPandas(partial(_nearest, index, len(index.centroids)), f"{query_id}, cell int, place long")
+    places = exact.join(homes, "chunk_id").join(near, ["query_id", "cell"]).select("place").toPandas()["place"].to_numpy()
+    return int(np.quantile(places, target, method="higher")) + 1 if len(places) else 1
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """``query_id, recall``: the share of each query's exact hits that ``found`` has too."""
     hit = found.select("query_id", "chunk_id", F.lit(1).alias("hit")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from midmile.operators import analytics as A
-from midmile.operators import graph, metrics, spatial
+from midmile.operators import adjacency, graph, metrics, spatial
 from midmile.operators import retrieval as R
 from midmile.operators import silver as S
 from midmile.plans.oracle import near_route
@@ -253,16 +253,18 @@ def _truck(key: str):
     return F.concat(F.lit("truck:"), F.col(key).cast("string"))
 
 
-def _seeds(v: Views):
+def _seeds(v: Views, dense=None):
     """Trucks of the chunks most like each query."""
-    return stage(_cosine(v).select("query_id", _truck("chunk_id").alias("node_id")), "seeds")
+    dense = _cosine(v) if dense is None else dense
+    return stage(dense.select("query_id", _truck("chunk_id").alias("node_id")), "seeds")
 
 
 def _walk_from(v: Views, seeds):
-    """Three hops from all seeds that are nodes."""
-    nodes, edges = _graph(v)
-    known = nodes.where("node_type = 'truck'").select("node_id").join(seeds.select("node_id").distinct(), "node_id", "left_semi")
-    return graph.expand(known, edges)
+    """Three hops from all seeds that are nodes. Trucks reach loads, trucks and drivers only, so the records' edges are enough."""
+    ops = S.union_records(v.ops_parts)
+    trucks = ops.where("truck_id IS NOT NULL").select(_truck("truck_id").alias("node_id"))
+    known = seeds.select("node_id").distinct().join(trucks, "node_id", "left_semi")
+    return graph.expand(known, adjacency.record_edges(ops))
 
 
 # An edge leads from any type of node; trucks reach loads, trucks and drivers only.
@@ -291,8 +293,8 @@ _GRAPH_HITS = f"""SELECT * FROM (SELECT query_id, chunk_id, way.hop AS hop, way.
       AND NOT EXISTS (SELECT 1 FROM cosine_hits o WHERE o.query_id = h.query_id AND o.chunk_id = c.vec_id) GROUP BY 1, 2) b) r WHERE rank <= 5"""
 
 
-def _graph_hits(v: Views):
-    seeds = _seeds(v)
+def _graph_hits(v: Views, dense=None):
+    seeds = _seeds(v, dense)
     chunks = _chunks(v).select("chunk_id", _truck("chunk_id").alias("node_id"))
     return graph.graph_hits(seeds, _walk_from(v, seeds), chunks)
 
@@ -307,7 +309,8 @@ def _three_lists(v: Views):
     asked = v.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     asked = asked.join(v.embeddings.select(F.col("label").alias("query_id")).distinct(), "query_id", "left_semi")
     docs = v.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("text_content"))
-    return {"dense": _cosine(v), "sparse": R.bm25(asked, docs), "graph": _graph_hits(v)}
+    dense = stage(_cosine(v), "dense-hits")
+    return {"dense": dense, "sparse": R.bm25(asked, docs), "graph": _graph_hits(v, dense)}
 
 
 WEIGHTS = {"dense": 0.4, "sparse": 0.2, "graph": 0.4}  # fixed values

@@ -11,7 +11,7 @@ from midmile.plans.registry import register
 from midmile.plans.views import Views
 from midmile.runtime import fresh_path
 from midmile.sources.schema import columns
-from midmile.streaming import feeds
+from midmile.streaming import feeds, joined, keyed
 
 EVENT = columns("event_id bigint, user_id bigint, event_type string, value double")
 
@@ -142,6 +142,70 @@ def _(v: Views):
     return feeds.fresh_heatmap(v.spark, dst).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+def _in_parts(v: Views, rows, at: str, folder: str, parts: int = 3):
+    """Drop rows into ``folder`` in the order of ``at``, an equal span of time each time."""
+    first, last = rows.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    span = (last - first) // parts + 1
+    for part in range(parts):
+        due = F.floor((F.unix_micros(at) - first) / span) == part
+        rows.where(due).drop(at).write.mode("append").parquet(folder)
+        yield part
+
+
+_INCIDENT = columns("state string, city string, start_time timestamp, severity int")
+
+
+@register("x3_keyed_heatmap", "SELECT state, city, hour, incident_count, avg_severity FROM heat")
+def _(v: Views):
+    """Incidents that come up to three hours late, to a stream that closes hours after two and starts anew for every part."""
+    src, dst, ckpt = (fresh_path(v.spark, f"keyed-{n}") for n in ("src", "dst", "ckpt"))
+    late = F.make_interval(hours=(F.col("accident_id") % 4).cast("int"))
+    at = F.col("start_time").cast("timestamp")
+    rows = v.accidents.select("state", "city", at.alias("start_time"), "severity", (at + late).alias("arrives"))
+    for _ in _in_parts(v, rows, "arrives", src):
+        stream = feeds.read_feed(v.spark, src, _INCIDENT, fmt="parquet")
+        keyed.stream_keyed_heatmap(stream, dst, ckpt).awaitTermination()
+    found = keyed.keyed_heatmap(v.spark, dst).drop("corrections")
+    return found.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+_PLACED = columns("place string, start_time timestamp, severity int")
+_READING = columns("place string, observed_at timestamp, visib double")
+# A reading of a state's stations for every delivery, in the days of the incidents.
+_READINGS = """SELECT n_name AS place, CAST('2024-01-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' SECOND * CAST((l_orderkey * 7919 + l_linenumber * 104729) % 2592000 AS INT) AS observed_at,
+    CASE WHEN l_partkey % 83 = 0 THEN NULL ELSE l_tax * 100 END AS visib FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey"""
+
+
+@register(
+    "x4_joined_patches",
+    f"""SELECT place, to_timestamp(w) :: TIMESTAMP AS patch_start, to_timestamp(w + 28800) :: TIMESTAMP AS patch_end, count(*) AS readings,
+        count(*) FILTER (WHERE visib < 1) AS bad_readings, sum(severity) :: BIGINT AS severity_sum FROM (
+          SELECT place, visib, severity, unnest([s - s % 14400, s - s % 14400 - 14400]) AS w FROM (
+            SELECT r.place, visib, severity, CAST(floor(epoch(start_time)) AS BIGINT) AS s FROM accidents a JOIN ({_READINGS.format(lineitem="lineitem", supplier="supplier", nation="nation")}) r
+            ON r.place = a.state AND observed_at BETWEEN start_time - INTERVAL 2 HOUR AND start_time) j) p GROUP BY 1, 2, 3""",
+)
+def _(v: Views):
+    """Incidents and readings as two streams, and rows behind all of them that let the last patches pass."""
+    left, right, dst, ckpt = (fresh_path(v.spark, f"joined-{n}") for n in ("left", "right", "dst", "ckpt"))
+    incidents = v.accidents.select(F.col("state").alias("place"), F.col("start_time").cast("timestamp").alias("start_time"), "severity")
+    readings = v.spark.sql(_READINGS, lineitem=v.lineitem, supplier=v.supplier, nation=v.nation).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    end = "TIMESTAMP '2024-03-01 00:00:00'"
+
+    def run() -> None:
+        a = feeds.read_feed(v.spark, left, _PLACED, fmt="parquet")
+        b = feeds.read_feed(v.spark, right, _READING, fmt="parquet")
+        joined.stream_joined_patches(a, b, F.col("visib") < 1, dst, ckpt).awaitTermination()
+
+    pairs = zip(_in_parts(v, incidents.withColumn("at", F.col("start_time")), "at", left, 2), _in_parts(v, readings.withColumn("at", F.col("observed_at")), "at", right, 2), strict=True)
+    for _ in pairs:
+        run()
+    v.spark.sql(f"SELECT 'end' AS place, {end} AS start_time, 1 AS severity").write.mode("append").parquet(left)
+    v.spark.sql(f"SELECT 'end of readings' AS place, {end} AS observed_at, 1.0D AS visib").write.mode("append").parquet(right)
+    run()
+    found = v.spark.read.schema("place string, patch_start timestamp, patch_end timestamp, readings bigint, bad_readings bigint, severity_sum bigint").parquet(dst)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("patch_start", "patch_end")})
+
+
 @register(
     "x5_stream_log",
     """SELECT count(*) AS total, avg(CASE WHEN is_grounded THEN 1 ELSE 0 END) * 100 AS grounded_pct, avg(execution_time_ms) AS avg_ms,

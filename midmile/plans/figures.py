@@ -53,15 +53,12 @@ def _(v: Views):
     return scored.select("state", "city", F.round("risk_score", 8).alias("risk_score"))
 
 
-_FLEET = "truck_id, fuel_type, driver_terminal, trips, total_miles, avg_mpg, total_revenue"
-
-
-TRUCK_KEYS = ("truck_id", "fuel_type", "driver_terminal")  # what the given tables tell of a truck
+_FLEET = "truck_id, truck_make, truck_year, fuel_type, driver_name, driver_terminal, trips, total_miles, avg_mpg, total_revenue"
 
 
 @register("a6_fleet_table", f"SELECT {_FLEET} FROM fleet30")
 def _(v: Views):
-    return A.fleet_table(v.trips, keys=TRUCK_KEYS).withColumns(_double("total_miles", "avg_mpg", "total_revenue"))
+    return A.fleet_table(v.trips).withColumns(_double("total_miles", "avg_mpg", "total_revenue"))
 
 
 @register(
@@ -69,7 +66,7 @@ def _(v: Views):
     "SELECT count(*) AS total_trucks, round(sum(total_revenue), 2) AS total_revenue, round(avg(avg_mpg), 4) AS avg_mpg FROM fleet30",
 )
 def _(v: Views):
-    return A.fleet_kpis(v.trips, keys=TRUCK_KEYS).select(
+    return A.fleet_kpis(v.trips).select(
         "total_trucks", F.round(F.col("total_revenue").cast("double"), 2).alias("total_revenue"),
         F.round(F.col("avg_mpg").cast("double"), 4).alias("avg_mpg"),
     )

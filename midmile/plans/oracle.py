@@ -60,6 +60,16 @@ _OPS = [
     ("src_customers", "customer", dict(customer_id="customer_id", origin_city="origin_city", description="description")),
     ("src_facilities", "facility", dict(facility_id="facility_id", description="description")),
     ("src_routes", "route", dict(route_id="route_id", description="notes")),
+    ("src_trips", "trip", dict(trip_id="trip_id", driver_id="driver_id", truck_id="truck_id", trailer_id="trailer_id", origin_city="origin_city",
+        destination_city="destination_city", distance_miles="distance_miles", event_date="TRY_CAST(event_date AS DATE)")),
+    ("src_trailers", "trailer", dict(trailer_id="trailer_id", description="notes")),
+    ("src_fuel_purchases", "fuel", dict(truck_id="truck_id", fuel_gallons="fuel_gallons", fuel_cost="TRY_CAST(fuel_cost AS DOUBLE)", event_date="date")),
+    ("src_maintenance_records", "maintenance", dict(truck_id="truck_id", maintenance_type="service_type", maintenance_cost="maintenance_cost",
+        event_date="date", description="notes")),
+    ("src_safety_incidents", "safety", dict(driver_id="driver_id", safety_incident_type="incident_type", event_date="event_date",
+        event_timestamp="timestamp", description="description")),
+    ("src_driver_monthly_metrics", "driver_metric", dict(driver_id="driver_id", distance_miles="distance_miles", revenue="revenue", description="description")),
+    ("src_truck_utilization_metrics", "truck_metric", dict(truck_id="truck_id", distance_miles="distance_miles", detention_minutes="detention_minutes", description="notes")),
 ]
 _ORDER = ", ".join(f"{c} ASC NULLS FIRST" for c in _UNIFIED[2:])
 
@@ -116,11 +126,11 @@ CTES = {
         SELECT query_id, vec_id AS chunk_id, round(list_distance(vector, CAST(embedding AS DOUBLE[])), 9) AS distance
         FROM centroids, embeddings) d) x WHERE rank <= 5""",
     "delays": """SELECT *, days_for_shipping_real - days_for_shipment_scheduled AS delay_days FROM shipments""",
-    "fleet30": """SELECT truck_id, fuel_type, driver_terminal, count(*) AS trips,
+    "fleet30": """SELECT truck_id, truck_make, truck_year, fuel_type, driver_name, driver_terminal, count(*) AS trips,
         round(CAST(sum(CAST(actual_distance_miles AS DECIMAL(18,4))) AS DOUBLE), 0) AS total_miles,
         round(CAST(sum(CAST(average_mpg AS DECIMAL(18,6))) AS DOUBLE) / count(*), 2) AS avg_mpg,
         CAST(sum(revenue) AS DOUBLE) AS total_revenue FROM trips WHERE trip_status = 'Completed' AND fuel_type IN ('Diesel', 'CNG', 'Electric')
-        GROUP BY 1, 2, 3 HAVING count(*) >= 5 ORDER BY sum(revenue) DESC, truck_id, fuel_type, driver_terminal LIMIT 30""",
+        GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) >= 5 ORDER BY sum(revenue) DESC, truck_id, truck_make, truck_year, fuel_type, driver_name, driver_terminal LIMIT 30""",
     "fuel_spend": """SELECT location, location_state, CAST(sum(fuel_cost) AS DOUBLE) AS total_spend,
         CAST(sum(CAST(fuel_gallons AS DECIMAL(18,4))) AS DOUBLE) AS total_gallons,
         CAST(sum(price_per_gallon) AS DOUBLE) / count(*) AS avg_price_per_gallon FROM fuel GROUP BY 1, 2""",

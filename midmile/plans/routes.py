@@ -50,18 +50,26 @@ def _(v: Views):
     return spatial.route_blackspots(_routes(v), v.accidents, 5000.0)
 
 
-@register(
-    "j4_route_weather",
-    f"""SELECT route_id, date, station, weather_alert, round(distance_m, 2) AS distance_m FROM (
+_NEAREST = f"""SELECT route_id, date, station, weather_alert, round(distance_m, 2) AS distance_m FROM (
         SELECT n.route_id, a.date, n.station, a.weather_alert, n.distance_m,
         row_number() OVER (PARTITION BY n.route_id, a.date ORDER BY n.distance_m, n.station) AS rn
         FROM ({near_route('stations', 'latitude', 'longitude', 100000.0)}) n JOIN (SELECT station, date, min(weather_alert) AS weather_alert
-        FROM alerts WHERE weather_alert <> 'Normal conditions' GROUP BY 1, 2) a ON a.station = n.station) r WHERE rn = 1""",
-)
-def _(v: Views):
+        FROM alerts WHERE weather_alert <> 'Normal conditions' GROUP BY 1, 2) a ON a.station = n.station) r WHERE rn = 1"""
+
+
+def _daily_alerts(v: Views):
     alerts = S.active_alerts(S.weather_alerts(v.weather))
-    daily = stage(alerts.groupBy("station", "date").agg(F.min("weather_alert").alias("weather_alert")), "daily-alerts")
-    return spatial.route_weather(_routes(v), v.stations, daily).withColumn("distance_m", F.round("distance_m", 2))
+    return stage(alerts.groupBy("station", "date").agg(F.min("weather_alert").alias("weather_alert")), "daily-alerts")
+
+
+@register("j4_route_weather", _NEAREST)
+def _(v: Views):
+    return spatial.route_weather(_routes(v), v.stations, _daily_alerts(v)).withColumn("distance_m", F.round("distance_m", 2))
+
+
+@register("j4_nearest_alerts", _NEAREST)
+def _(v: Views):
+    return spatial.nearest_alerts(_routes(v), v.stations, _daily_alerts(v)).withColumn("distance_m", F.round("distance_m", 2))
 
 
 @register(

@@ -25,7 +25,8 @@ ACCIDENTS = columns(
     "accident_id bigint, start_time timestamp_ntz, state string, city string, severity int, start_lat double, start_lng double"
 )
 _CONFORMED = "record_type, load_id, truck_id, driver_id, customer_id, facility_id, route_id, revenue, cost, delivery_status, CAST(on_time_flag AS VARCHAR) AS on_time, detention_minutes, event_date, description"
-_UNION_ROWS = f"SELECT {_CONFORMED}, distance_miles, booking_type FROM ops_union"
+_OTHERS = "trip_id, trailer_id, distance_miles, booking_type, fuel_gallons, fuel_cost, maintenance_type, maintenance_cost, safety_incident_type, event_timestamp"
+_UNION_ROWS = f"SELECT {_CONFORMED}, {_OTHERS} FROM ops_union"
 _ACCIDENT_ROWS = "SELECT accident_id, start_time, state, city, severity, start_lat, start_lng FROM accidents"
 
 
@@ -38,7 +39,7 @@ def _csv(df, name: str, path: str | None = None, **options: str) -> str:
 
 
 def _union_rows(rows):
-    return rows.selectExpr(*[e.strip().replace("VARCHAR", "STRING") for e in _CONFORMED.split(", ")], "distance_miles", "booking_type")
+    return rows.selectExpr(*[e.strip().replace("VARCHAR", "STRING") for e in _CONFORMED.split(", ")], *_OTHERS.split(", "))
 
 
 def _database(v: Views, name: str) -> str:
@@ -370,6 +371,14 @@ def _or_unknown(c: str, money: bool = False) -> str:
           || {_or_unknown('on_time_flag')} || ', detention: ' || {_or_unknown('detention_minutes', True)} || ' min on ' || {_or_unknown('event_date')} || '.'
         WHEN 'driver' THEN 'Driver ' || {_or_unknown('driver_id')} || ': ' || {_or_unknown('description')} || '.'
         WHEN 'truck' THEN 'Truck ' || {_or_unknown('truck_id')} || ': ' || {_or_unknown('description')} || '.'
+        WHEN 'trip' THEN 'Trip ' || {_or_unknown('trip_id')} || ': Driver ' || {_or_unknown('driver_id')} || ' in truck ' || {_or_unknown('truck_id')} || ', '
+          || {_or_unknown('origin_city')} || ' → ' || {_or_unknown('destination_city')} || ', ' || {_or_unknown('distance_miles', True)} || ' miles on ' || {_or_unknown('event_date')} || '.'
+        WHEN 'fuel' THEN 'Fuel purchase: ' || {_or_unknown('fuel_gallons', True)} || ' gal at $' || {_or_unknown('fuel_cost', True)} || ' for truck '
+          || {_or_unknown('truck_id')} || ' on ' || {_or_unknown('event_date')} || '.'
+        WHEN 'maintenance' THEN 'Maintenance for truck ' || {_or_unknown('truck_id')} || ': ' || {_or_unknown('maintenance_type')} || ', cost $'
+          || {_or_unknown('maintenance_cost', True)} || ' on ' || {_or_unknown('event_date')} || '. Notes: ' || {_or_unknown('description')} || '.'
+        WHEN 'safety' THEN 'Safety incident: ' || {_or_unknown('safety_incident_type')} || ' involving driver ' || {_or_unknown('driver_id')} || ' on '
+          || {_or_unknown('event_date')} || '. Details: ' || {_or_unknown('description')} || '.'
         ELSE 'Record ' || record_id || ' (' || record_type || '): ' || {_or_unknown('description')} || '.' END AS sentence FROM ops_records""",
 )
 def _(v: Views):

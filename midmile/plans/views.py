@@ -52,7 +52,8 @@ VIEWS = {
         CAST(1 + o_custkey % 4 AS INT) AS days_for_shipment_scheduled,
         CASE WHEN o_orderkey % 41 = 0 THEN 'x' WHEN o_orderkey % 7 > 1 + o_custkey % 4 THEN '1' ELSE '0' END
         AS late_delivery_risk FROM {orders}""",
-    "trips": """SELECT s_name AS truck_id, n_name AS driver_terminal, CASE l_suppkey % 4 WHEN 0 THEN 'Diesel'
+    "trips": """SELECT s_name AS truck_id, n_name AS driver_terminal, 'Make ' || CAST(s_suppkey % 6 AS STRING) AS truck_make,
+        CAST(2010 + s_suppkey % 14 AS INT) AS truck_year, 'Driver ' || CAST(l_partkey % 3 AS STRING) AS driver_name, CASE l_suppkey % 4 WHEN 0 THEN 'Diesel'
         WHEN 1 THEN 'CNG' WHEN 2 THEN 'Electric' ELSE 'Other' END AS fuel_type, l_partkey % 50 AS route_id,
         CASE WHEN l_linestatus = 'F' THEN 'Completed' ELSE 'Open' END AS trip_status,
         l_quantity AS actual_distance_miles, 5 + l_tax * 50 AS average_mpg,
@@ -100,6 +101,26 @@ VIEWS = {
         c_name AS description FROM {customer}""",
     "src_facilities": "SELECT CAST(n_nationkey AS STRING) AS facility_id, n_name AS description FROM {nation}",
     "src_routes": "SELECT CAST(r_regionkey AS STRING) AS route_id, r_name AS notes FROM {region}",
+    "src_trips": """SELECT CAST(c_custkey AS STRING) AS trip_id, CAST(c_custkey % 100 AS STRING) AS driver_id,
+        CAST(c_custkey % 500 + 1 AS STRING) AS truck_id, CAST(c_nationkey AS STRING) AS trailer_id,
+        'City ' || CAST(c_custkey % 40 AS STRING) AS origin_city,
+        CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 'City ' || CAST(c_custkey % 37 AS STRING) END AS destination_city,
+        CAST(c_custkey % 700 AS STRING) AS distance_miles,
+        CASE WHEN c_custkey % 29 = 0 THEN 'no date' ELSE '2024-01-' || CAST(10 + c_custkey % 20 AS STRING) END AS event_date FROM {customer}""",
+    "src_trailers": "SELECT CAST(s_suppkey AS STRING) AS trailer_id, s_name AS notes FROM {supplier}",
+    "src_fuel_purchases": """SELECT CAST(user_id AS STRING) AS truck_id, CAST(event_id % 90 + 10 AS STRING) AS fuel_gallons,
+        CASE WHEN event_id % 19 = 0 THEN 'n/a' ELSE CAST(CAST((event_id % 90 + 10) * 3.5 AS DECIMAL(12,2)) AS STRING) END AS fuel_cost,
+        CAST(CAST(ts AS DATE) AS STRING) AS date FROM {events}""",
+    "src_maintenance_records": """SELECT CAST(p_partkey AS STRING) AS truck_id, p_type AS service_type,
+        CAST(p_size * 25 AS STRING) AS maintenance_cost, '2024-02-' || CAST(10 + p_partkey % 19 AS STRING) AS date,
+        CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS notes FROM {part}""",
+    "src_safety_incidents": """SELECT CAST(user_id % 100 AS STRING) AS driver_id, event_type AS incident_type,
+        CAST(CAST(ts AS DATE) AS STRING) AS event_date, CAST(date_trunc('second', ts) AS STRING) AS timestamp,
+        CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'Report ' || CAST(event_id AS STRING) END AS description FROM {events}""",
+    "src_driver_monthly_metrics": """SELECT CAST(s_suppkey AS STRING) AS driver_id, CAST(s_suppkey * 31 % 9000 AS STRING) AS distance_miles,
+        CAST(s_nationkey * 100 AS STRING) AS revenue, 'Month 2024-01' AS description FROM {supplier}""",
+    "src_truck_utilization_metrics": """SELECT CAST(n_nationkey AS STRING) AS truck_id, CAST(n_nationkey * 11 AS STRING) AS distance_miles,
+        CAST(n_nationkey % 7 AS STRING) AS detention_minutes, n_name AS notes FROM {nation}""",
 }
 
 OPS_FILES = {
@@ -110,6 +131,13 @@ OPS_FILES = {
     "customers.csv": "src_customers",
     "facilities.csv": "src_facilities",
     "routes.csv": "src_routes",
+    "trips.csv": "src_trips",
+    "trailers.csv": "src_trailers",
+    "fuel_purchases.csv": "src_fuel_purchases",
+    "maintenance_records.csv": "src_maintenance_records",
+    "safety_incidents.csv": "src_safety_incidents",
+    "driver_monthly_metrics.csv": "src_driver_monthly_metrics",
+    "truck_utilization_metrics.csv": "src_truck_utilization_metrics",
 }
 
 

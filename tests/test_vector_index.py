@@ -63,6 +63,16 @@ def test_few_probes_find_most(spark, tmp_path, vectors, queries):
     assert found.count() == 40
 
 
+def test_probes_are_tuned_by_exact_hits(spark, tmp_path, vectors, queries):
+    chunks = table(spark, vectors[:600])
+    index = V.build(chunks, str(tmp_path / "index"), lists=40)
+    probes = V.tune(asked(spark, vectors[100:200]), index)
+    some = asked(spark, queries[:45])
+    assert probes < 40
+    assert V.recall(V.search(some, index, probes=probes), R.cosine_topk(some, chunks)).agg(F.avg("recall")).first()[0] >= 0.9
+    assert V.tune(asked(spark, vectors[:3]).where("false"), index) == 1
+
+
 def test_vectors_without_numbers_are_left_out(spark, tmp_path, vectors):
     index = V.build(table(spark, vectors), str(tmp_path / "index"), lists=4)
     assert V.cells(spark, index).agg(F.sum("rows")).first()[0] == len(vectors) - 3
