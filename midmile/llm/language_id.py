@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from midmile.llm.common import bounded_batches
+from midmile.llm.common import bounded_batches, tidied
 
 PROFILE = 400  # n-grams kept for a language and compared for a text
 HELD_WORDS = 1_000_000  # distinct words that a learning task holds before it hands their n-grams on
@@ -82,7 +82,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = P
         yield from out()
 
     known = docs.select(F.col(text).cast("binary").alias("t"), F.col(lang).cast("string").alias("l")).na.drop()
-    counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", place).where(F.col("rank") <= most).select("lang", "rank", "gram")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from midmile.llm.common import bounded_batches, components
+from midmile.llm.common import bounded_batches, components, tidied
 from midmile.runtime import stage
 
 BLOCK = 512  # rows of a block
@@ -123,7 +123,7 @@ def _sign(rule: Rule) -> Callable:
                 ["doc_id", "n", "s1", "s2", "bands", "sig"],
             )
 
-    return sign
+    return tidied(sign)
 
 
 # --- blocks
@@ -229,7 +229,7 @@ def _linker(rule: Rule, exact: bool) -> Callable:
                         b_out.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return link
+    return tidied(link)
 
 
 def _sets(rule: Rule) -> Callable:
@@ -239,7 +239,7 @@ def _sets(rule: Rule) -> Callable:
             found = [shingles(x.as_py(), rule.shingle, words).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["class_id", "shingles"])
 
-    return sets
+    return tidied(sets)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
