@@ -22,6 +22,7 @@ HEADLINE = [
     "r12_graph_edges", "r13_expand", "r14_majority_vote",
     "q3_null_rate", "q6_foreign_key", "q7_unique", "q9_reconciles", "e1_classification", "e2_retrieval_metrics",
     "x1_stream_files", "x3_stream_heatmap",
+    "r1_index_open", "r9_index", "r12_adjacency", "r13_expand_best", "j4_nearest_alerts", "a18_sketch_quantiles", "s10_upsert_by_key",
 ]
 
 
