@@ -18,7 +18,7 @@ from midmile.plans.oracle import PROFILE
 from midmile.plans.registry import register
 from midmile.plans.views import OPS_FILES, Views
 from midmile.runtime import fresh_path, stage
-from midmile.sources import readers, tables, writers
+from midmile.sources import clustered, readers, tables, writers
 from midmile.sources.schema import columns
 
 ACCIDENTS = columns(
@@ -571,11 +571,11 @@ def _(v: Views):
     return S.low_clearance(v.bridges, 4.5, 6).select("bridge_id", "clearance_mt", "condition")
 
 
-@register(
-    "f14_within_radius",
-    """SELECT bridge_id, round(d, 3) AS distance_m FROM (SELECT bridge_id, 2 * 6371008.8 * asin(sqrt(sin(radians(latitude - 33.7) / 2) ** 2
-       + cos(radians(33.7)) * cos(radians(latitude)) * sin(radians(longitude + 114.6) / 2) ** 2)) AS d FROM bridges) x WHERE d <= 16093""",
-)
+_RADIUS = """SELECT bridge_id, round(d, 3) AS distance_m FROM (SELECT bridge_id, 2 * 6371008.8 * asin(sqrt(sin(radians(latitude - 33.7) / 2) ** 2
+       + cos(radians(33.7)) * cos(radians(latitude)) * sin(radians(longitude + 114.6) / 2) ** 2)) AS d FROM bridges) x WHERE d <= 16093"""
+
+
+@register("f14_within_radius", _RADIUS)
 def _(v: Views):
     near = spatial.within_radius(v.bridges, 33.7, -114.6, 16093.0)
     return near.select("bridge_id", F.round("distance_m", 3).alias("distance_m"))
@@ -587,6 +587,24 @@ def _(v: Views):
     return v.bridges.where(spatial.meets_route(v.bridges, line, 500.0)).select("bridge_id")
 
 
+def _clustered(v: Views) -> str:
+    """Bridges stored along the curve."""
+    path = fresh_path(v.spark, "clustered")
+    clustered.write(v.bridges, path, 64)
+    return path
+
+
+@register("f14_clustered_radius", _RADIUS)
+def _(v: Views):
+    near = clustered.within_radius(v.spark, _clustered(v), 33.7, -114.6, 16093.0)
+    return near.select("bridge_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+@register("f15_clustered_route", "SELECT bridge_id FROM hits WHERE route_id = 3")
+def _(v: Views):
+    return clustered.meets_route(v.spark, _clustered(v), [(41.1, -104.1), (41.2, -103.65)], 500.0).select("bridge_id")
+
+
 # ---- windows, orders, unions -------------------------------------------------------
 
 
