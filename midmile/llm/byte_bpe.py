@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from midmile.llm.common import bounded_batches
+from midmile.llm.common import bounded_batches, give_back
 
 CHUNK = 200_000  # characters; longer texts are cut before they meet the pattern
 _CUT = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
@@ -84,6 +84,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
         coder = Coder(ranks, pattern, chunk)
         for batch in texts:
             yield batch.map(lambda x: coder.ids(x.decode("utf-8", "replace")))
+        del coder
+        give_back()
 
     return docs.withColumn(ids, to_ids(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
 
@@ -100,5 +102,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str =
         code = encoding(ranks, pattern)
         for batch in column:
             yield batch.map(lambda x: code.decode_bytes(x.tolist()))
+        del code
+        give_back()
 
     return df.withColumn(out, to_bytes(F.coalesce(F.col(ids), F.array().cast("array<int>"))))

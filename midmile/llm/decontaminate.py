@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from midmile.llm.common import bounded_batches
+from midmile.llm.common import bounded_batches, tidied
 
 WINDOW = 13
 SEGMENT_BYTES = 4 << 20  # text in a segment; one longer document is a segment by itself
@@ -77,7 +77,7 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", segment
         if ids:
             yield out()
 
-    return docs.select(F.col(id).cast("long"), F.col(text).cast("binary")).mapInArrow(index, INDEX)
+    return docs.select(F.col(id).cast("long"), F.col(text).cast("binary")).mapInArrow(tidied(index), INDEX)
 
 
 class Segment:
@@ -187,7 +187,7 @@ def judge(index: DataFrame, tests: DataFrame, id: str = "item_id", text: str = "
 def _by_block(index, tests, id, text, window, task, schema, n_blocks=None) -> DataFrame:
     out = None
     for block in blocks(tests, id, text):
-        found = index.mapInArrow(task(_windows(block, window)), schema)
+        found = index.mapInArrow(tidied(task(_windows(block, window))), schema)
         out = found if out is None else out.union(found)
         if n_blocks:
             n_blocks[0] += 1

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from midmile.llm.common import bounded_batches, tidied
+from midmile.llm.common import bounded_batches, give_back, tidied
 
 PROFILE = 400  # n-grams kept for a language and compared for a text
 HELD_WORDS = 1_000_000  # distinct words that a learning task holds before it hands their n-grams on
@@ -124,6 +124,7 @@ def predict(docs: DataFrame, profiles: DataFrame, text: str = "text", most: int
     def to_language(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in column:
             yield pd.DataFrame([score(x) for x in batch], columns=["lang", "score"])
+        give_back()
 
     found = to_language(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
     named = docs.drop("lang_pred", "score", "_language").withColumn("_language", found)
