@@ -126,3 +126,16 @@ def test_patches_of_streams_are_those_of_tables(spark, tmp_path, both):
         arrive(spark, b, [("other", ends + timedelta(hours=k), 1.0)], RIGHT)
         run()
     assert found(spark.read.parquet(dst)) == patches(left, right)
+
+
+def test_patches_do_not_make_pairs(spark, both):
+    """Readings after an incident count too when asked for, an unknown severity adds nothing, and no join makes the pairs."""
+    left, right = both
+    left = [(p, t, None if k % 3 == 0 or p == "b" else s) for k, (p, t, s) in enumerate(left)]
+    right = [(p, t and t + timedelta(seconds=1), v) for p, t, v in right]
+    a, b = spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT)
+    table = joined.joined_patches(a, b, F.col("visib") < 1, "6 hours", "4 hours", "30 minutes", "3 hours")
+    assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+    met = joined.within(a, b, "30 minutes", "3 hours").groupBy("place", F.window("start_time", "6 hours", "4 hours").alias("w"))
+    pairs = met.agg(F.count("*").alias("n"), F.count_if(F.col("visib") < 1).alias("bad"), F.sum("severity").alias("s")).collect()
+    assert pairs and found(table) == {(r.place, r.w.start): (r.n, r.bad, r.s) for r in pairs}
