@@ -391,12 +391,9 @@ def _(v: Views):
        revenue, cost FROM ops_records""",
 )
 def _(v: Views):
-    meta = lambda k: F.get_json_object("metadata", f"$.{k}")
-    return S.text_chunks(v.ops_records).select(
-        F.col("chunk_id").alias("record_id"), meta("route").alias("route"), meta("driver_id").alias("driver_id"),
-        meta("truck_id").alias("truck_id"), meta("event_date").alias("event_date"),
-        meta("revenue").cast("double").alias("revenue"), meta("cost").cast("double").alias("cost"),
-    )
+    keys = ["route", "driver_id", "truck_id", "event_date", "revenue", "cost"]
+    read = S.text_chunks(v.ops_records).select(F.col("chunk_id").alias("record_id"), F.json_tuple("metadata", *keys).alias(*keys))  # one parse a record
+    return read.withColumns({c: F.col(c).cast("double") for c in ("revenue", "cost")})
 
 
 @register("p18_source_ids", "SELECT record_type, count(*) AS chunks, count(*) AS ids, 1 AS longest FROM ops_records GROUP BY 1")
