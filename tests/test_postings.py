@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from midmile.operators import postings
 from midmile.operators import retrieval as R
+from midmile.runtime import stage
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +67,23 @@ def test_no_documents_or_queries(spark, tmp_path, texts, asked):
     postings.build(docs, str(tmp_path / "some"))
     index = postings.load(spark, str(tmp_path / "some"))
     assert postings.search(queries.where("false"), index).count() == 0
+
+
+def test_postings_move_once_and_their_sums_never(spark, tmp_path, texts, asked, monkeypatch):
+    docs, queries = tables(spark, texts, asked)
+    plans = {}
+    monkeypatch.setattr(postings, "stage", lambda df, name: plans.setdefault(name, []).append(df) or stage(df, name))
+    index = postings.build(docs, str(tmp_path / "index"))
+    assert "shares" not in plans and "tallies" not in plans  # no copy of the postings beside the index
+    assert hits(postings.search(queries, index)) == hits(R.bm25(queries, docs))
+    plan = plans["open-documents"][0]._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and "chunk_id" in moved[0] and "query_id" not in moved[0]
+
+
+def test_ids_that_repeat(spark, tmp_path):
+    rows = [(1, "a b b c"), (1, "a b b c"), (1, "a d"), (None, "a e"), (None, "a e f"), (2, "b"), (3, "a f")]
+    docs, queries = tables(spark, rows, [(1, "a b"), (2, "f d e")])
+    index = postings.build(docs, str(tmp_path / "index"))
+    found = hits(postings.search(queries, index))
+    assert found and {h[2] for h in found} <= {1, 2, 3}
