@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from midmile.llm.common import bounded_batches
+from midmile.llm.common import bounded_batches, give_back
 from midmile.runtime import stage
 
 ORDERS = 6  # contexts of 0 to 5 bytes
@@ -334,6 +334,15 @@ def _shard_of(x: np.ndarray, shards: int) -> np.ndarray:
     return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % shards
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Windows in order, packed: neighbours differ little."""
+    return zstandard.compress(np.diff(x, prepend=0).tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.int64))
+
+
 PART = "shard long, bundle long, x binary, n binary"
 
 
@@ -342,9 +351,9 @@ def _parts(x: np.ndarray, n: np.ndarray | None, bundle: int | None, shards: int)
     of = _shard_of(x, shards)
     order = np.argsort(of, kind="stable")
     found, starts = np.unique(of[order], return_index=True)
-    cut = lambda v: [p.tobytes() for p in np.split(v[order], starts[1:])]
+    cut = lambda v, kept=np.ndarray.tobytes: [kept(p) for p in np.split(v[order], starts[1:])]
     return pa.RecordBatch.from_arrays(
-        [pa.array(found), pa.array([bundle] * len(found), pa.int64()), pa.array(cut(x), pa.binary()), pa.array(cut(n) if n is not None else [None] * len(found), pa.binary())],
+        [pa.array(found), pa.array([bundle] * len(found), pa.int64()), pa.array(cut(x) if n is not None else cut(x, _squeezed), pa.binary()), pa.array(cut(n) if n is not None else [None] * len(found), pa.binary())],
         [c.split()[0] for c in PART.split(", ")],
     )
 
@@ -480,16 +489,20 @@ def _asked(texts: DataFrame, shards: int) -> DataFrame:
 
 
 def _answered(parts: DataFrame, packed: Broadcast, weights: np.ndarray, table: np.ndarray) -> DataFrame:
-    """Rows (bundle, x, bits): log2 of the probability of every window that a bundle asked a shard for."""
+    """Rows (bundle, x, bits): log2 of the probability of every window that a bundle asked a shard for.
+
+    A window that many bundles ask for is looked up once. Requests and answers stay packed but for the one at hand.
+    """
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows[rows["n"].isna()]
         if not len(asks):
             return pd.DataFrame({"bundle": [], "x": [], "bits": []}).astype({"bundle": "int64"})
-        x, at = np.unique(_joined(asks["x"]), return_inverse=True)
-        bits = _looked_up(Model(_shard_counts(rows, _unpacked(packed))[2], weights, table), x)[at]
-        ends = np.cumsum([len(b) // 8 for b in asks["x"]])
-        return pd.DataFrame({"bundle": asks["bundle"].astype("int64"), "x": asks["x"], "bits": [b.tobytes() for b in np.split(bits, ends[:-1])]})
+        x = np.unique(np.concatenate([_unsqueezed(a) for a in asks["x"]]))
+        bits = _looked_up(Model(_shard_counts(rows, _unpacked(packed))[2], weights, table), x).astype(np.float32)
+        found = [bits[np.searchsorted(x, _unsqueezed(a))].tobytes() for a in asks["x"]]
+        give_back()
+        return pd.DataFrame({"bundle": asks["bundle"].astype("int64"), "x": asks["x"], "bits": found})
 
     return parts.groupBy("shard").applyInPandas(answer, "bundle long, x binary, bits binary")
 
@@ -529,7 +542,8 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
 
     def judge(bundle: pa.Table, answered: pa.Table) -> pa.Table:
         hashes, (keys, logs) = _Words(), frequent.value
-        known, bits_of = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in answered[c]]) for c, kind in (("x", np.int64), ("bits", np.float64)))
+        known = np.concatenate([_unsqueezed(v.as_py()) for v in answered["x"]])
+        bits_of = np.concatenate([np.frombuffer(v.as_py(), np.float32) for v in answered["bits"]]).astype(np.float64)
         known, first = np.unique(known, return_index=True)  # a bundle that two tasks read has asked twice
         bits_of, out = bits_of[first], []
         for batch, texts in _batches(bundle.to_batches(), 3):
@@ -559,6 +573,7 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
                 ],
                 [x.split()[0] for x in SCORED.split(", ")],
             ))
+        give_back()
         return pa.Table.from_batches(out)
 
     scored = stage(texts.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(judge, SCORED), "scored")

@@ -203,6 +203,20 @@ def test_many_distinct_windows_like_text_by_text(spark, monkeypatch):
         assert r.score == pytest.approx(sum(shards[k].log2_byte(x[of == k]).sum() for k in range(3)) * math.log10(2), rel=1e-6)
 
 
+def test_requests_and_answers_travel_packed(spark, monkeypatch):
+    dice = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(dice.choice(["ab", "cde", "fghi"]) + str(dice.randrange(400)) for _ in range(900))) for k in range(12)], "doc_id long, text string")
+    made, sent = context_mix._answered, []
+    monkeypatch.setattr(context_mix, "_answered", lambda parts, *a: sent.append((parts.where("n is null").toPandas(), made(parts, *a).toPandas())) or made(parts, *a))
+    assert len(context_mix.score(docs, F.col("doc_id") % 4 == 1).collect()) == 12
+    (asks, answers), = sent
+    n = sum(len(b) for b in answers["bits"]) // 4
+    assert n > 5_000 and all(len(b) == 4 * len(context_mix._unsqueezed(x)) for x, b in zip(answers["x"], answers["bits"], strict=True))
+    assert sorted(asks["x"]) == sorted(answers["x"]) and sum(map(len, asks["x"])) < 6 * n  # 8 bytes a window before
+    x = np.array([5, 9, 2**47, 2**48 - 1], np.int64)
+    assert (context_mix._unsqueezed(context_mix._squeezed(x)) == x).all() and len(context_mix._unsqueezed(context_mix._squeezed(x[:0]))) == 0
+
+
 def test_shards_follow_the_corpus(spark, monkeypatch):
     """A context that was never seen stays unseen however much text there is: tables are not fuller than the shard's windows make them."""
     monkeypatch.setattr(context_mix, "SHARD", 20_000)
