@@ -499,7 +499,7 @@ def _answered(parts: DataFrame, packed: Broadcast, weights: np.ndarray, table: n
         if not len(asks):
             return pd.DataFrame({"bundle": [], "x": [], "bits": []}).astype({"bundle": "int64"})
         x = np.unique(np.concatenate([_unsqueezed(a) for a in asks["x"]]))
-        bits = _looked_up(Model(_shard_counts(rows, _unpacked(packed))[2], weights, table), x).astype(np.float32)
+        bits = _looked_up(Model(_shard_counts(rows, _unpacked(packed))[2], weights, table), x)
         found = [bits[np.searchsorted(x, _unsqueezed(a))].tobytes() for a in asks["x"]]
         give_back()
         return pd.DataFrame({"bundle": asks["bundle"].astype("int64"), "x": asks["x"], "bits": found})
@@ -543,7 +543,7 @@ def score(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "te
     def judge(bundle: pa.Table, answered: pa.Table) -> pa.Table:
         hashes, (keys, logs) = _Words(), frequent.value
         known = np.concatenate([_unsqueezed(v.as_py()) for v in answered["x"]])
-        bits_of = np.concatenate([np.frombuffer(v.as_py(), np.float32) for v in answered["bits"]]).astype(np.float64)
+        bits_of = np.concatenate([np.frombuffer(v.as_py(), np.float64) for v in answered["bits"]])
         known, first = np.unique(known, return_index=True)  # a bundle that two tasks read has asked twice
         bits_of, out = bits_of[first], []
         for batch, texts in _batches(bundle.to_batches(), 3):

@@ -210,8 +210,8 @@ def test_requests_and_answers_travel_packed(spark, monkeypatch):
     monkeypatch.setattr(context_mix, "_answered", lambda parts, *a: sent.append((parts.where("n is null").toPandas(), made(parts, *a).toPandas())) or made(parts, *a))
     assert len(context_mix.score(docs, F.col("doc_id") % 4 == 1).collect()) == 12
     (asks, answers), = sent
-    n = sum(len(b) for b in answers["bits"]) // 4
-    assert n > 5_000 and all(len(b) == 4 * len(context_mix._unsqueezed(x)) for x, b in zip(answers["x"], answers["bits"], strict=True))
+    n = sum(len(b) for b in answers["bits"]) // 8
+    assert n > 5_000 and all(len(b) == 8 * len(context_mix._unsqueezed(x)) for x, b in zip(answers["x"], answers["bits"], strict=True))
     assert sorted(asks["x"]) == sorted(answers["x"]) and sum(map(len, asks["x"])) < 6 * n  # 8 bytes a window before
     x = np.array([5, 9, 2**47, 2**48 - 1], np.int64)
     assert (context_mix._unsqueezed(context_mix._squeezed(x)) == x).all() and len(context_mix._unsqueezed(context_mix._squeezed(x[:0]))) == 0
